@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, ngram_join, sharding
+from . import licenses, mixing, ngram_join, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
         "op4_proportional_sharding": sharding.op4_proportional_sharding,
+        "op6_pii_spans": pii.op6_pii_spans,
         "op7_source_mixing": mixing.op7_source_mixing,
         "op9_license_scan": licenses.op9_license_scan,
     }
