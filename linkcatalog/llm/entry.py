@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, ngram_join, pii, sharding
+from . import bpe, licenses, mixing, ngram_join, pii, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+        "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
         "op4_proportional_sharding": sharding.op4_proportional_sharding,
+        "op5_quality_cascade": quality_rules.op5_quality_cascade,
         "op6_pii_spans": pii.op6_pii_spans,
         "op7_source_mixing": mixing.op7_source_mixing,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_license_scan": licenses.op9_license_scan,
     }
 
@@ -22,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
+        "op5_quality_cascade": quality_rules.OP5_SQL,
     }

@@ -129,3 +129,35 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
         a = mix(s ^ U64(0xA0761D6478BD642F)).sum(dtype=U64)
         b = mix(s ^ U64(0xE7037ED1A0B428DB)).sum(dtype=U64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+
+def repeated_words(h: np.ndarray, doc: np.ndarray, k: int = 3) -> np.ndarray:
+    """Marks the words that lie in a ``k``-word window found twice or more in its document."""
+    marks = np.zeros(len(h), bool)
+    if len(h) < k:
+        return marks
+    n = len(h) - k + 1
+    with np.errstate(over="ignore"):
+        s = h[:n] * _PLACE[0]
+        for j in range(1, k):
+            s = s + h[j : j + n] * _PLACE[j]
+        s = mix(s + doc[:n].astype(U64) * _PLACE[30])
+    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
+    s = s[at]
+    order = np.argsort(s, kind="stable")
+    ranked = s[order]
+    same = np.zeros(len(s), bool)
+    eq = ranked[1:] == ranked[:-1]
+    same[1:] |= eq
+    same[:-1] |= eq
+    twice = at[order[same]]
+    for j in range(k):
+        marks[twice + j] = True
+    return marks
+
+
+def counts_between(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many flags are set in each stretch of ``offs``."""
+    cum = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=cum[1:])
+    return cum[offs[1:]] - cum[offs[:-1]]
