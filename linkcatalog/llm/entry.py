@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, ngram_join, pii, quality_rules, sharding, token_counts
+from . import additive_ann, bpe, crf_quality, licenses, mixing, ngram_join, pii, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+        "op2_additive_ann": additive_ann.op2_additive_ann,
         "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
         "op4_proportional_sharding": sharding.op4_proportional_sharding,
         "op5_quality_cascade": quality_rules.op5_quality_cascade,
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_source_mixing": mixing.op7_source_mixing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_license_scan": licenses.op9_license_scan,
+        "op10_crf_quality": crf_quality.op10_crf_quality,
     }
 
 
