@@ -22,12 +22,11 @@ from .quality_rules import _DIGIT, _LOWER, _SYMBOL, _UPPER
 #: Labelled documents on which the model is fitted, at most: those with the smallest hashes of
 #: their ids among the labelled rows that aren't held out.
 MAX_TRAIN = 3000
-N_FEATURES = 10
+N_FEATURES = 11
 
 
 def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, length, document) of each line that has a word, in order."""
-    n_docs = len(offs) - 1
     starts, ends, doc = kernels.word_spans(data, offs)
     if not len(starts):
         return np.zeros((0, N_FEATURES), np.float32), np.zeros(0), np.zeros(0, np.int64)
@@ -56,6 +55,7 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     _, where = np.unique(key, return_index=True)
     again = np.ones(n_lines)
     again[where] = 0
+    twins = np.concatenate(([False], (h[1:] == h[:-1]) & (line_of[1:] == line_of[:-1])))
     mean = chars / words
     f = np.stack(
         [
@@ -69,10 +69,10 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
             np.clip((mean - 6) / 6, -1, 2),
             np.minimum(np.log1p(words) / 5, 2),
             (words < 3).astype(float),
+            np.bincount(line_of, weights=twins, minlength=n_lines) / words,
         ],
         1,
     ).astype(np.float32)
-    del n_docs
     return f, chars, line_doc
 
 
@@ -196,7 +196,7 @@ def fit(texts: list[str | None], quality: list[int], rounds: int = 120) -> Model
     share = bad_share(forward_backward(x @ weights, trans, doc)[0], length, doc, n_docs)
     both = np.stack([np.ones(n_docs), share], 1)
     even = np.where(y_doc > 0, 0.5 / max(y_doc.sum(), 1), 0.5 / max((1 - y_doc).sum(), 1)) * n_docs
-    return Model(weights, trans, _logistic(both, y_doc, even, 0.02))
+    return Model(weights, trans, _logistic(both, y_doc, np.sqrt(even), 0.02))
 
 
 def bad_share(p: np.ndarray, length: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
