@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkcatalog.plans import catalog
+from linkcatalog.plans import catalog, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(catalog.QUERIES)
+    return catalog.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalog.SQL)
+    return catalog.SQL | texts.SQL
