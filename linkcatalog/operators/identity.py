@@ -141,11 +141,11 @@ def sync_tasks(tasks: DataFrame, plans: DataFrame) -> DataFrame:
 
 def blast_gate(plans: DataFrame, media: DataFrame, delete_share: float = 0.05, rehome_share: float = 0.2) -> DataFrame:
     """Per gated kind: planned rows, all seasons, and whether the plan is beyond its share."""
-    total = media.agg(F.count("*").alias("total"))
+    total = F.lit(media.count())
     shares = plans.sparkSession.createDataFrame([("delete", delete_share), ("rehome", rehome_share)], "kind string, share double")
     counts = plans.groupBy("kind").agg(F.count("*").alias("n"))
-    out = shares.join(counts, "kind", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(total)
-    return out.select("kind", "n", "total", ((F.col("total") > 0) & (F.col("n") > F.col("share") * F.col("total"))).alias("blocked"))
+    out = shares.join(counts, "kind", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("kind", "n", total.cast("long").alias("total"), ((total > 0) & (F.col("n") > F.col("share") * total)).alias("blocked"))
 
 
 def retype(stored: Column, found: Column) -> Column:

@@ -69,6 +69,12 @@ def upsert_latest(target: DataFrame, incoming: DataFrame, key: list[str], mark:
     return both.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_side")
 
 
-def overlap_rows(rows: DataFrame, mark: str, watermark: Column, seconds: int = 300) -> DataFrame:
-    """Rows from ``seconds`` before the watermark on; an idempotent upsert takes them twice."""
-    return rows.where(F.col(mark) >= watermark - F.lit(seconds))
+def max_watermark(rows: DataFrame, mark: str) -> int | None:
+    """One value for the driver: the next run's filter on it reaches the scan."""
+    return rows.agg(F.max(mark)).first()[0]
+
+
+def overlap_rows(rows: DataFrame, mark: str, watermark: int | None, seconds: int = 300) -> DataFrame:
+    """Rows from ``seconds`` before the watermark on; an idempotent upsert takes them twice. Without a
+    watermark all rows."""
+    return rows if watermark is None else rows.where(F.col(mark) >= watermark - seconds)

@@ -80,6 +80,24 @@ def search_trgm(works: DataFrame, keyword: str, limit: int, offset: int = 0) ->
     return out.where(hit).orderBy(F.desc("score"), F.desc("work_id")).offset(offset).limit(limit)
 
 
+def trigram_postings(works: DataFrame, text: str) -> DataFrame:
+    """(work_id, n, trigram): an index to be written once, bucketed or sorted by trigram; n counts the
+    work's trigrams."""
+    own = works.select("work_id", trigrams(F.col(text)).alias("t"))
+    return own.select("work_id", F.size("t").alias("n"), F.explode("t").alias("trigram"))
+
+
+def search_postings(postings: DataFrame, keyword: str, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+    """(work_id, score) of the works that are similar enough, from the postings of the keyword's few
+    trigrams alone: the literal list is a filter of the scan, and counts are combined before the
+    shuffle. Shared and own counts give the same similarity as :func:`similarity`."""
+    spark = postings.sparkSession
+    wanted = spark.range(1).select(trigrams(F.lit(keyword)).alias("t")).first()["t"]
+    hits = postings.where(F.col("trigram").isin(*wanted)).groupBy("work_id", "n").agg(F.count("*").alias("both"))
+    score = F.col("both") / (F.col("n") + len(wanted) - F.col("both"))
+    return hits.select("work_id", score.alias("score")).where(F.col("score") >= threshold)
+
+
 def top_links(bridge: DataFrame, resources: DataFrame, k: int = 5) -> DataFrame:
     """Per season the ``k`` first links: valid ones first, then the newest."""
     order = Window.partitionBy("media_id").orderBy(F.when(F.col("check_status") == "valid", 0).otherwise(1), F.desc("resource_id"))

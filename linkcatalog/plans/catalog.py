@@ -83,6 +83,19 @@ def search_trgm(c: Catalog) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc("work_id")).limit(50).withColumn("score", F.round("score", 9))
 
 
+@query(
+    "search_trgm_indexed",
+    f"""+ t AS (SELECT p_partkey, p_name, {_TRGM.format("p_name")} AS a, {_TRGM.format("'green widget'")} AS b FROM part),
+    s AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS score FROM t)
+    SELECT p_partkey AS work_id, p_name AS title, round(score, 9) AS score FROM s WHERE score >= 0.2""",
+    "work",
+)
+def search_trgm_indexed(c: Catalog) -> DataFrame:
+    rows = c.raw("part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"))
+    found = search.search_postings(search.trigram_postings(rows, "title"), "green widget")
+    return found.join(rows, "work_id").select("work_id", "title", F.round("score", 9).alias("score"))
+
+
 @query(
     "season_topk_links",
     """SELECT media_id, resource_id, provider, check_status, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY media_id
@@ -288,9 +301,8 @@ def sync_upsert(c: Catalog) -> DataFrame:
 
 @query("sync_overlap_window", "SELECT check_id, checked_at FROM checks WHERE checked_at >= (SELECT max(checked_at) FROM checks WHERE check_id % 50 = 0) - 300", "checks")
 def sync_overlap_window(c: Catalog) -> DataFrame:
-    mark = c.checks.where("check_id % 50 = 0").agg(F.max("checked_at").alias("mark"))
-    rows = c.checks.join(F.broadcast(mark))  # one row
-    return ingest.overlap_rows(rows, "checked_at", F.col("mark")).select("check_id", "checked_at")
+    mark = ingest.max_watermark(c.checks.where("check_id % 50 = 0"), "checked_at")
+    return ingest.overlap_rows(c.checks, "checked_at", mark).select("check_id", "checked_at")
 
 
 # --- checks and queues ----------------------------------------------------

@@ -180,15 +180,6 @@ def _stream(c: Catalog, table: str) -> DataFrame:
     return c.spark.readStream.schema(c.raw(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(c.sf_dir)
 
 
-def _drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    import uuid
-
-    view = f"{name}_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(view)
-
-
 @query(
     "stream_check_machine",
     """+ a AS (SELECT *, lag(status) OVER w AS prev FROM checks WINDOW w AS (PARTITION BY link ORDER BY checked_at, check_id)),
@@ -203,7 +194,7 @@ def stream_check_machine(c: Catalog) -> DataFrame:
     at = F.expr(seconds_spark("seconds(ts)"))
     status = F.expr("CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'view' THEN 'valid' WHEN 'signup' THEN 'invalid' WHEN 'click' THEN 'invalid' ELSE 'error' END")
     checks = _stream(c, "events").select(F.col("user_id").alias("link"), F.col("event_id").alias("check_id"), at.alias("checked_at"), status.alias("status"))
-    out = _drain(jobs.check_machine(checks), "machine", "update")
+    out = jobs.drain(jobs.check_machine(checks), "machine", "update")
     last = out.groupBy("link").agg(F.max_by(F.struct("checks", "status", "attempts", "flips"), "checks").alias("x"))
     return last.select("link", "x.*")
 
@@ -214,12 +205,12 @@ def stream_check_machine(c: Catalog) -> DataFrame:
 )
 def stream_daily_counts(c: Catalog) -> DataFrame:
     events = _stream(c, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drain(jobs.windowed_counts(events, "ts", "event_type"), "daily", "complete")
+    out = jobs.drain(jobs.windowed_counts(events, "ts", "event_type"), "daily", "complete")
     return out.select(F.unix_seconds("window.start").alias("day"), "event_type", "n")
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id AS link FROM events")
 def stream_dedupe(c: Catalog) -> DataFrame:
     events = _stream(c, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drain(jobs.dedupe_messages(events, "user_id", "ts", "90 days"), "dedupe", "append")
+    out = jobs.drain(jobs.dedupe_messages(events, "user_id", "ts", "90 days"), "dedupe", "append")
     return out.select(F.col("user_id").alias("link"))

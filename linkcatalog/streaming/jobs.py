@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,3 +55,29 @@ def ingest_batches(read_stored: Callable[[], DataFrame], write: Callable[[DataFr
         write(out.where("outcome = 'created'").drop("outcome"))
 
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; where none is set (local runs) one of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found or os.path.join(tempfile.gettempdir(), "checkpoints", "streams")
+
+
+def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Runs a stream over all that is there, batch by batch into Parquet in the shared folder with its
+    checkpoint beside it, and reads the result. A batch has a folder of its own that a retry
+    overwrites; mode ``complete`` keeps the last batch alone."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    last: dict[str, int] = {}
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+        last["epoch"] = epoch
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if "epoch" not in last:
+        return spark.createDataFrame([], stream.schema)
+    one = f"{at}/out/epoch={last['epoch']}" if mode == "complete" else f"{at}/out"
+    return spark.read.schema(stream.schema).parquet(one)
