@@ -156,10 +156,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, ro
     return w
 
 
+def _features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of a list, a megabyte of text at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    found, before = [], 0
+    for part in byte_chunks(batch, "text"):
+        f, length, doc = line_features(*utf8_parts(part.column(0)))
+        found.append((f, length, doc + before))
+        before += part.num_rows
+    if not found:
+        return line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def fit(texts: list[str | None], quality: list[int], rounds: int = 120) -> Model:
     """Lines of good documents are good. Which lines of bad documents are bad is first told by a
     logistic fit of lines to their document's label, then learnt by the field itself."""
-    f, length, doc = line_features(*utf8_parts(pa.array(texts, pa.string())))
+    f, length, doc = _features_of(texts)
     x = with_neighbours(f, doc).astype(float)
     y_doc = np.array(quality, float)
     n_docs = len(texts)
