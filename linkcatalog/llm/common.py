@@ -29,7 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = os.path.join(tempfile.gettempdir(), "checkpoints", "linkcatalog")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
