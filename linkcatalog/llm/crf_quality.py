@@ -169,9 +169,20 @@ def _features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _bad_lines(guess: np.ndarray, bad_doc: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of bad documents the lines that are guessed worse than 199 in 200 lines of good ones, and the
+    worst line of each."""
+    good = guess[bad_doc == 0]
+    line = (bad_doc > 0) & (guess > (np.quantile(good, 0.995) if len(good) else 0))
+    order = np.lexsort((-guess, doc))
+    worst = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]
+    line[worst] |= bad_doc[worst] > 0
+    return line.astype(float)
+
+
 def fit(texts: list[str | None], quality: list[int], rounds: int = 120) -> Model:
     """Lines of good documents are good. Which lines of bad documents are bad is first told by a
-    logistic fit of lines to their document's label, then learnt by the field itself."""
+    logistic fit of lines to their document's label, then by the field so learnt."""
     f, length, doc = _features_of(texts)
     x = with_neighbours(f, doc).astype(float)
     y_doc = np.array(quality, float)
@@ -181,9 +192,7 @@ def fit(texts: list[str | None], quality: list[int], rounds: int = 120) -> Model
         return Model(np.zeros(3 * N_FEATURES), np.zeros((2, 2)), np.array([4.0 if only >= 0.5 else -4.0, 0.0]))
     bad_doc = 1 - y_doc[doc]
     even = np.where(bad_doc > 0, 0.5 / max(bad_doc.sum(), 1), 0.5 / max((1 - bad_doc).sum(), 1)) * len(doc)
-    line = np.zeros(len(doc))
-    guess = f.astype(float) @ _logistic(f.astype(float), bad_doc, even, 1.0)
-    line[(bad_doc > 0) & (guess > 0)] = 1
+    line = _bad_lines(f.astype(float) @ _logistic(f.astype(float), bad_doc, even, 1.0), bad_doc, doc)
     weights, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     chain = np.flatnonzero(doc[1:] == doc[:-1])
     for again in range(2):
@@ -204,8 +213,7 @@ def fit(texts: list[str | None], quality: list[int], rounds: int = 120) -> Model
                 else:
                     trans = trans + move
         if not again:
-            p = forward_backward(x @ weights, trans, doc)[0]
-            line = ((bad_doc > 0) & (p > 0.5)).astype(float)
+            line = _bad_lines(forward_backward(x @ weights, trans, doc)[0], bad_doc, doc)
     share = bad_share(forward_backward(x @ weights, trans, doc)[0], length, doc, n_docs)
     both = np.stack([np.ones(n_docs), share], 1)
     even = np.where(y_doc > 0, 0.5 / max(y_doc.sum(), 1), 0.5 / max((1 - y_doc).sum(), 1)) * n_docs
