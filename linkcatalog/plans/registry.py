@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkcatalog.plans import catalog, rulings, texts
+from linkcatalog.plans import catalog, collecting, rulings, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalog.QUERIES | texts.QUERIES | rulings.QUERIES
+    return catalog.QUERIES | texts.QUERIES | rulings.QUERIES | collecting.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.SQL | texts.SQL | rulings.SQL
+    return catalog.SQL | texts.SQL | rulings.SQL | collecting.SQL
