@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import byte_chunks, materialize, table, utf8_parts
+from .common import byte_chunks, discard, materialize, table, utf8_parts
 from .components import components
 from .trie_join import join_block, needed
 
@@ -23,8 +24,8 @@ SKETCH, SKETCH_SHARED = 48, 16
 #: chance of 0.8 or more, so that a linked pair shares none of 16 with a chance of 7e-12; sets
 #: of under 80 shingles post the whole exact prefix.
 PREFIX = 16
-#: Sets of one key which meet in one task; a key that more sets post is dealt over strip pairs.
-STRIP = 1024
+#: Sets of one key and size class which meet in one task; more are dealt over strip pairs.
+STRIP = 2048
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -60,14 +61,19 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             )
 
 
+#: Columns that name a block, and what goes on of its rows.
+BLOCK = ("key", "bucket", "bi", "bj")
+ROW = (*BLOCK, "probe", "rep", "n", "m")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal (key, bi, bj) in sorted input."""
+    """Runs of one block in sorted input."""
     held: list[pa.RecordBatch] = []
     held_key = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        cols = [batch.column(i).to_numpy() for i in range(3)]
+        cols = [batch.column(i).to_numpy() for i in range(len(BLOCK))]
         change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
         cuts = [0, *change.tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
@@ -82,14 +88,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _block(group: pa.Table):
-    """Rows of a strip pair, probes first."""
-    bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
-    strip = group.column("strip").to_numpy()
-    order = np.argsort(strip != bi, kind="stable")
-    group = group.take(pa.array(order))
-    n_probe = int((strip == bi).sum())
+    """Rows of a block, probes first. Its pairs are probe by other row, and, where bi is bj, probe by
+    probe too."""
+    probe = group.column("probe").to_numpy() > 0
+    group = group.take(pa.array(np.argsort(~probe, kind="stable")))
     body = [np.frombuffer(x, U64) for x in group.column("body").to_pylist()]
-    return group, body, n_probe, bi == bj, U64(np.int64(group.column("key")[0].as_py()).view(np.uint64))
+    same = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
+    return group, body, int(probe.sum()), same, U64(np.int64(group.column("key")[0].as_py()).view(np.uint64))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
 
         join_block(body, sizes, least, pivot, n_probe, same, emit, num, den)
         if hit.any():
-            out = group.filter(pa.array(hit)).select(["key", "bi", "bj", "strip", "rep", "n", "m"]).combine_chunks()
+            out = group.filter(pa.array(hit)).select(list(ROW)).combine_chunks()
             yield from out.to_batches()
 
 
@@ -148,7 +153,35 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return df.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+
+def _blocks(posted: DataFrame, num: int, den: int) -> DataFrame:
+    """(*BLOCK, probe, rep) from postings (key, rep, n).
+
+    Sizes of linked sets differ by den / num at most, so that a set meets only those of its own
+    and of the next size class: the block of a key and class holds the sets of the class as probes
+    and those of the next class beside them. A class of more than STRIP sets is dealt over pairs of strips.
+    """
+    often = posted.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key")
+    width = math.log(den / num * 1.0001)  # a little wide, so that rounding loses no pair
+    rows = posted.join(often, "key").withColumn("bucket", F.floor(F.log("n") / width).cast("int"))
+    counts = rows.groupBy("key", "bucket").agg(F.count("*").alias("g"))
+    above = counts.select("key", (F.col("bucket") - 1).alias("bucket"), F.col("g").alias("gu"))
+    strips = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / STRIP).cast("int")
+    made = counts.join(above, ["key", "bucket"], "left").where("g + coalesce(gu, 0) > 1")
+    made = made.select("key", "bucket", strips("g").alias("ns"), strips("gu").alias("nu"))
+    own = rows.withColumn("probe", F.lit(1))
+    upper = rows.withColumn("bucket", F.col("bucket") - 1).withColumn("probe", F.lit(0))
+    out = own.union(upper).join(made, ["key", "bucket"])
+    out = out.withColumn("s", F.pmod(F.xxhash64("rep"), F.when(F.col("probe") == 1, F.col("ns")).otherwise(F.col("nu"))).cast("int"))
+    places = F.expr(
+        """CASE WHEN ns = 1 AND nu <= 1 THEN array(named_struct('bi', 0, 'bj', 0, 'probe', probe))
+             WHEN probe = 0 THEN transform(sequence(0, ns - 1), i -> named_struct('bi', i, 'bj', ns + s, 'probe', 0))
+             ELSE concat(transform(sequence(s, ns + nu - 1), j -> named_struct('bi', s, 'bj', j, 'probe', 1)),
+                         transform(filter(sequence(0, s), i -> i < s), i -> named_struct('bi', i, 'bj', s, 'probe', 0))) END"""
+    )
+    return out.select("key", "bucket", "rep", F.explode(places).alias("at")).select("key", "bucket", "at.bi", "at.bj", "at.probe", "rep")
 
 
 def jaccard_classes(
@@ -163,8 +196,8 @@ def jaccard_classes(
     How: equal sets become one class; classes post the first tokens of the global (hash) order;
     blocks of a key walk a prefix tree over bottom sketches to find rows with a possible
     partner; only these get their whole sets, in the one block of a pair's smallest common
-    token, where a second prefix-tree walk decides exactly. Keys with many sets are dealt over
-    strip pairs of at most 2 * STRIP sets.
+    token, where a second prefix-tree walk decides exactly. Within a key sets meet only those of
+    like size; size classes of many sets are dealt over strip pairs of at most 2 * STRIP sets.
 
     Null or empty text, or text without words: n_shingles 0, linked with nothing, component_id
     its own id. Null ids: the row keeps a null id; its component_id is the smallest id of its
@@ -185,27 +218,19 @@ def jaccard_classes(
         .where("rep is not null"),
         "classes",
     )
-    posted = classes.select(F.explode("keys").alias("key"), "rep")
-    counts = posted.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-    strips = F.ceil(F.col("g") / STRIP).cast("int")
-    rows = (
-        posted.join(counts, "key")
-        .withColumn("nb", strips)
-        .withColumn("strip", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(
-            "key", F.least("strip", "other").alias("bi"), F.greatest("strip", "other").alias("bj"), "strip", "rep"
-        )
-    )
-    sketched = rows.join(classes.select("rep", "n", "m", "body"), "rep").select("key", "bi", "bj", "strip", "rep", "n", "m", "body")
-    short = "key long, bi int, bj int, strip int, rep long, n long, m long"
+    sketches, feats = feats, materialize(feats.select("id", "n", "d1", "d2"), "members")
+    discard(sketches)
+    rows = _blocks(classes.select(F.explode("keys").alias("key"), "rep", "n"), num, den)
+    sketched = rows.join(classes.select("rep", "n", "m", "body"), "rep").select(*ROW, "body")
+    short = "key long, bucket int, bi int, bj int, probe int, rep long, n long, m long"
     hits = materialize(_dealt(sketched).mapInArrow(lambda it: _candidates(it, num, den), short), "hits")
     bodies = (
         src.join(hits.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
         .mapInArrow(lambda it: _whole_sets(it, k), "rep long, body binary")
     )
-    whole = hits.join(bodies, "rep").select("key", "bi", "bj", "strip", "rep", "n", "m", "body")
+    whole = hits.join(bodies, "rep").select(*ROW, "body")
     found = materialize(_dealt(whole).mapInArrow(lambda it: _links(it, num, den), _LINK), "found")
+    discard(hits)
     comps = components(found.where("b is not null"))
     n_links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     named = (
