@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import discard, global_rank, hash_bucket, materialize, table
 
 #: Rows that meet in one bucket of the distributed ranking, on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def shard_rows(
