@@ -103,6 +103,25 @@ def merge_attributes(rows: DataFrame, group: str) -> DataFrame:
     )
 
 
+def upsert_works(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Known works keep their title and take a type or year only where they have none; a further title
+    becomes an alias, after those they have; unknown keys are new works."""
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, key, "full")
+    fill = lambda c, blank: F.coalesce(F.nullif(f"o.{c}", F.lit(blank)), f"n.{c}", f"o.{c}").alias(c)
+    other = F.when(F.col("n.title").isNotNull() & F.col("o.title").isNotNull() & (F.col("n.title") != F.col("o.title")), F.array("n.title"))
+    kept = F.coalesce("o.aliases", F.array().cast("array<string>"))
+    aliases = F.slice(F.array_distinct(F.concat(kept, F.coalesce(other, F.array().cast("array<string>")))), 1, ALIAS_CAP)
+    return both.select(key, F.coalesce("o.title", "n.title").alias("title"), fill("media_type", "unknown"), fill("year", 0), aliases.alias("aliases"))
+
+
+def prompt_packs(entries: DataFrame) -> DataFrame:
+    """(block_key, pack, message): the entries of each pack as numbered lines; a pack holds 50 at most."""
+    line = F.format_string("%d. %s (%d rows, %d links)", F.col("place"), F.col("series_key").cast("string"), F.col("rows"), F.col("resources"))
+    listed = F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))
+    return entries.groupBy("block_key", "pack").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("message"))
+
+
 def move_links(bridge: DataFrame, mapping: DataFrame) -> DataFrame:
     """Links of merged seasons under their survivors, each once."""
     m = mapping.select("media_id", "survivor")

@@ -495,6 +495,36 @@ def canon_blocks(c: Catalog) -> DataFrame:
     return identity.blocks(rows).select("block_key", "series_key", "rows", "resources", "place", "pack")
 
 
+@query(
+    "prompt_packs",
+    f"""{_LINKED}, e AS (SELECT work_id % 50 AS block_key, work_id AS series_key, count(*) AS rows, CAST(sum(links) AS BIGINT) AS resources FROM linked GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY block_key ORDER BY resources DESC, rows DESC, series_key) AS place FROM e
+      WHERE block_key IN (SELECT block_key FROM e GROUP BY block_key HAVING count(*) >= 2))
+    SELECT block_key, (place - 1) // 50 AS pack, string_agg(place || '. ' || series_key || ' (' || rows || ' rows, ' || resources || ' links)', chr(10) ORDER BY place) AS message FROM p GROUP BY ALL""",
+    "media", "bridge",
+)
+def prompt_packs(c: Catalog) -> DataFrame:
+    rows = _linked(c).withColumn("block_key", F.col("work_id") % 50).withColumn("series_key", F.col("work_id"))
+    return identity.prompt_packs(identity.blocks(rows))
+
+
+@query(
+    "upsert_works",
+    """+ o AS (SELECT work_id, title, CASE WHEN work_id % 2 = 0 THEN 'unknown' ELSE media_type END AS media_type, year FROM work WHERE work_id % 3 <> 0),
+    n AS (SELECT work_id, CASE WHEN work_id % 4 = 0 THEN title || '!' ELSE title END AS title, media_type, year + 1 AS year FROM work WHERE work_id % 5 <> 0)
+    SELECT work_id, coalesce(o.title, n.title) AS title, coalesce(nullif(o.media_type, 'unknown'), n.media_type, o.media_type) AS media_type,
+      coalesce(nullif(o.year, 0), n.year, o.year) AS year, CASE WHEN o.title <> n.title THEN n.title ELSE '' END AS aliases FROM o FULL JOIN n USING (work_id)""",
+    "work",
+)
+def upsert_works(c: Catalog) -> DataFrame:
+    i = F.col("work_id")
+    kind = F.when(i % 2 == 0, "unknown").otherwise(F.col("media_type"))
+    old = c.work.where("work_id % 3 <> 0").select(i, "title", kind.alias("media_type"), "year", F.array().cast("array<string>").alias("aliases"))
+    title = F.when(i % 4 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title"))
+    new = c.work.where("work_id % 5 <> 0").select(i, title.alias("title"), "media_type", (F.col("year") + 1).alias("year"))
+    return identity.upsert_works(old, new, "work_id").withColumn("aliases", F.array_join("aliases", "|"))
+
+
 @query(
     "best_decision",
     """WITH d AS (SELECT doc_id % 500 AS key, doc_id AS position, CASE WHEN n_chars % 4 = 0 THEN NULL ELSE (n_chars % 10) / 10.0::DOUBLE END AS confidence FROM documents)
