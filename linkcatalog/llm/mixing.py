@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .common import SEP_CLASS, discard, global_rank, hash_bucket, materialize, table
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Words in a block.
 BLOCK = 1024
 #: Cells of the unit interval in which schedule points meet the sources' intervals.
