@@ -24,7 +24,7 @@ SKETCH, SKETCH_SHARED = 48, 16
 #: chance of 0.8 or more, so that a linked pair shares none of 16 with a chance of 7e-12; sets
 #: of under 80 shingles post the whole exact prefix.
 PREFIX = 16
-#: Sets of one key and size class which meet in one task; more are dealt over strip pairs.
+#: Sets of one key, or of one key and size class, which meet in one task; more are dealt out.
 STRIP = 2048
 
 
@@ -159,20 +159,22 @@ def _dealt(df: DataFrame) -> DataFrame:
 def _blocks(posted: DataFrame, num: int, den: int) -> DataFrame:
     """(*BLOCK, probe, rep) from postings (key, rep, n).
 
-    Sizes of linked sets differ by den / num at most, so that a set meets only those of its own
-    and of the next size class: the block of a key and class holds the sets of the class as probes
-    and those of the next class beside them. A class of more than STRIP sets is dealt over pairs of strips.
+    A key of up to STRIP sets is one block. Beyond, sizes of linked sets differ by den / num at most,
+    so that a set meets only those of its own and of the next size class: the block of a key and
+    class holds the sets of the class as probes and those of the next class beside them. A class of
+    more than STRIP sets is dealt over pairs of strips.
     """
-    often = posted.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key")
+    often = posted.groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1")
     width = math.log(den / num * 1.0001)  # a little wide, so that rounding loses no pair
-    rows = posted.join(often, "key").withColumn("bucket", F.floor(F.log("n") / width).cast("int"))
+    size_class = F.when(F.col("of_key") > STRIP, F.floor(F.log("n") / width)).otherwise(-1).cast("int")
+    rows = posted.join(often, "key").select("key", "rep", size_class.alias("bucket"))
     counts = rows.groupBy("key", "bucket").agg(F.count("*").alias("g"))
-    above = counts.select("key", (F.col("bucket") - 1).alias("bucket"), F.col("g").alias("gu"))
+    above = counts.where("bucket > 0").select("key", (F.col("bucket") - 1).alias("bucket"), F.col("g").alias("gu"))
     strips = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / STRIP).cast("int")
     made = counts.join(above, ["key", "bucket"], "left").where("g + coalesce(gu, 0) > 1")
     made = made.select("key", "bucket", strips("g").alias("ns"), strips("gu").alias("nu"))
     own = rows.withColumn("probe", F.lit(1))
-    upper = rows.withColumn("bucket", F.col("bucket") - 1).withColumn("probe", F.lit(0))
+    upper = rows.where("bucket > 0").withColumn("bucket", F.col("bucket") - 1).withColumn("probe", F.lit(0))
     out = own.union(upper).join(made, ["key", "bucket"])
     out = out.withColumn("s", F.pmod(F.xxhash64("rep"), F.when(F.col("probe") == 1, F.col("ns")).otherwise(F.col("nu"))).cast("int"))
     places = F.expr(
@@ -196,8 +198,9 @@ def jaccard_classes(
     How: equal sets become one class; classes post the first tokens of the global (hash) order;
     blocks of a key walk a prefix tree over bottom sketches to find rows with a possible
     partner; only these get their whole sets, in the one block of a pair's smallest common
-    token, where a second prefix-tree walk decides exactly. Within a key sets meet only those of
-    like size; size classes of many sets are dealt over strip pairs of at most 2 * STRIP sets.
+    token, where a second prefix-tree walk decides exactly. Within a key of many sets they
+    meet only those of like size; size classes of many sets are dealt over strip pairs of at most
+    2 * STRIP sets.
 
     Null or empty text, or text without words: n_shingles 0, linked with nothing, component_id
     its own id. Null ids: the row keeps a null id; its component_id is the smallest id of its
