@@ -136,6 +136,13 @@ def rule_order(texts: list[str | None]) -> list[str]:
     return sorted(gain, key=lambda k: -gain[k])
 
 
+def sample_texts(docs: DataFrame, id_col: str, text_col: str) -> list[str | None]:
+    """About SAMPLE texts, twice as many at most: those of the ids whose hashes leave no rest."""
+    every = max(1, docs.count() // SAMPLE)
+    rows = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0).select(F.col(text_col).cast("string")).limit(2 * SAMPLE)
+    return [r[0] for r in rows.collect()]
+
+
 def _apply(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[pa.RecordBatch]:
     rules = {r.__name__: r for r in RULES}
     for batch in batches:
@@ -160,15 +167,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base_failed, kept).
 
     The base rule comes first; then the cascade runs each further rule only on the rows that all
-    before it have kept. The order comes from a bounded sample (SAMPLE rows by hash of the id)
-    and changes the work, never the verdict.
+    before it have kept. The order comes from a bounded sample (2 * SAMPLE rows at most, by hash
+    of the id) and changes the work, never the verdict.
 
     Null or empty text: counts 0, base_failed. Null ids, ties and repeated rows: each row is judged
     by itself. Very long texts are taken whole. Extra columns are ignored. Empty input: no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = src.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()
-    order = rule_order([r[0] for r in sample])
+    order = rule_order(sample_texts(src, "doc_id", "text"))
     kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     return src.mapInArrow(lambda it: _apply(it, order), kinds).withColumnRenamed("doc_id", id_col)
 
@@ -176,8 +182,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; the texts don't move."""
     schema, at = docs.schema, docs.columns.index(text_col)
-    sample = docs.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(SAMPLE).select(text_col).collect()
-    order = rule_order([r[0] for r in sample])
+    order = rule_order(sample_texts(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
