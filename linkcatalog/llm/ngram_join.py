@@ -100,9 +100,13 @@ def _block(group: pa.Table):
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows that have a possible partner in their block, judged by sketches."""
 
+    def below(a, small, big):
+        # a sketch that is cut may have lost common tokens: no exact bound where any set below is cut
+        exact = needed(a, small, num, den)
+        return np.where((np.asarray(a) <= SKETCH) & (big <= SKETCH), exact, np.minimum(exact, SKETCH_SHARED))
+
     def least(a, b):
-        exact = needed(a, b, num, den)
-        return np.where((np.asarray(a) <= SKETCH) & (b <= SKETCH), exact, np.minimum(exact, SKETCH_SHARED))
+        return below(a, b, b)
 
     for group in _groups(batches):
         if group.num_rows < 2:
@@ -115,7 +119,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
             hit[i] = True
             hit[probes] = True
 
-        join_block(body, sizes, least, pivot, n_probe, same, emit, num, den)
+        join_block(body, sizes, least, pivot, n_probe, same, emit, num, den, below)
         if hit.any():
             out = group.filter(pa.array(hit)).select(list(ROW)).combine_chunks()
             yield from out.to_batches()

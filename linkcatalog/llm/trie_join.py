@@ -18,15 +18,18 @@ def needed(n_a, n_b, num: int, den: int):
     return -(-total // (num + den))
 
 
-def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100):
+def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100, below=None):
     """Calls ``emit(i, probes)`` for sets ``i`` of the trie and the probe numbers that match.
 
     ``sets[:n_probe]`` are probes. The trie holds the sets from ``n_probe`` on or, if ``same``,
     all of them, and a pair is reported once, with the smaller number as probe. ``sizes`` are the
     sizes of the whole sets, which ``sets`` may hold in part (a bottom sketch); ``least(a, b)``
-    gives the overlap that sizes ``a`` (array) and ``b`` need. A pair counts only if ``pivot`` is
-    its smallest common token: each pair is met in one block.
+    gives the overlap that sizes ``a`` (array) and ``b`` need; ``below(a, small, big)`` the least of
+    it for all ``b`` from ``small`` to ``big``, by default ``least(a, small)``, which is right where
+    ``least`` does not fall as ``b`` grows. A pair counts only if ``pivot`` is its smallest common
+    token: each pair is met in one block.
     """
+    below = below or (lambda a, small, big: least(a, small))
     n = len(sets)
     trie_ids = np.arange(0 if same else n_probe, n)
     if len(trie_ids) == 0 or n_probe == 0:
@@ -82,10 +85,10 @@ def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100):
                     if depth == 0 or a[depth - 1] < pivot_at:  # an earlier common token: that block has the pair
                         alive = alive & (over == 0)
                     over = over + member[seg[cut:]].sum(0, dtype=np.int32)
-            small = trie_size[lo:hi].min()
+            small, big = trie_size[lo:hi].min(), trie_size[lo:hi].max()
             rest = int(path_len[lo:hi].max()) - to
             best = np.minimum(over + rest, probe_len)
-            ok = alive & (best >= least(probe_size, small))
+            ok = alive & (best >= below(probe_size, small, big))
             if hi - lo == 1:
                 i = order[lo]
                 if len(a) and a[-1] >= pivot_at:

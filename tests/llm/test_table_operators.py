@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from linkcatalog.llm import additive_ann, crf_quality, entry, mixing, ngram_join, sharding
@@ -109,6 +110,42 @@ def test_trie_join_equals_brute_force():
         assert found == want
 
 
+def sketch_block(sets):
+    key = min(set.intersection(*map(set, sets)))
+    n, cut = len(sets), [np.array(sorted(s), np.uint64)[: ngram_join.SKETCH].tobytes() for s in sets]
+    cols = {
+        "key": pa.array([np.uint64(key).astype(np.int64)] * n, pa.int64()), **{c: pa.array([v] * n, pa.int32()) for c, v in (("bucket", -1), ("bi", 0), ("bj", 0), ("probe", 1))},
+        "rep": pa.array(range(n), pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "m": pa.array([1] * n, pa.int64()), "body": pa.array(cut, pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def test_sketch_walk_keeps_every_link_around_the_sketch_size():
+    r = np.random.default_rng(7)
+    for n in range(40, 65):
+        for more in range(0, n // 4 + 1):
+            b = np.unique(r.integers(0, 1 << 63, n + more, np.uint64)).tolist()
+            a = r.permutation(b)[:n].tolist()
+            assert needed(n, n + more, 80, 100) <= n
+            for pair in ([a, b], [b, a]):
+                hits = [x for out in ngram_join._candidates([sketch_block(pair)], 80, 100) for x in out.column("rep").to_pylist()]
+                assert sorted(hits) == [0, 1], (n, more)
+
+
+def test_jaccard_join_of_sets_around_the_sketch_size(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(40):
+        words = [f"v{k}x{i}" for i in range(r.choice([49, 50, 52]) + 11)]
+        for cut in r.sample(range(0, 12), 3):
+            rows.append(" ".join(words[: len(words) - cut]))
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    rows = [(order[i], t) for i, t in enumerate(rows)]
+    got = sorted(tuple(x) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(rows))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
