@@ -64,8 +64,16 @@ _TEMPLATES = (
 )
 #: Names that are a license by themselves.
 _ALONE = ("cc by", "cc0", "gnu ", "creative commons", "unlicense", "wtfpl", "public domain", "all rights reserved")
-#: What any rule needs somewhere in the text.
-_GATE = "licen[cs]e|spdx|cc by|cc0|creative commons|gnu |public domain|all rights reserved|wtfpl"
+
+
+def _gate() -> str:
+    """What any rule needs somewhere in the text: a word of its template, or a name that the template takes without one."""
+    names = sorted({name for _, names, _ in FAMILIES for name in names})
+    alone = [name for name in names if name.startswith(_ALONE)]
+    return f"licen[cs]e|spdx| under (?:the )?(?:terms of the )?(?:{'|'.join(names)})| (?:{'|'.join(alone)})"
+
+
+_GATE = _gate()
 
 
 def rules() -> list[tuple[int, str, str, str]]:

@@ -177,3 +177,39 @@ def test_license_rules(spark):
     assert got[0] == "gpl-3" and got[1] == "cc-by-nc" and got[2] == "cc-by" and got[3] == "mit" and got[4] == ""
     assert set(got[5].split(",")) == {"bsd", "bsd-3"} and "cc-by-nc-sa" in got[6]
     assert len(licenses.rules()) > 200
+
+
+def sample(pattern):
+    """The shortest text of a rule's pattern, first alternatives taken."""
+
+    def say(tree):
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif name == "BRANCH":
+                out += say(arg[1][0])
+            elif name == "SUBPATTERN":
+                out += say(arg[-1])
+            elif name == "MAX_REPEAT":
+                out += say(arg[2]) * arg[0]
+            else:
+                assert name == "ASSERT", name
+        return out
+
+    return say(re._parser.parse(pattern)).strip()
+
+
+def test_license_gate_hides_no_rule(spark, monkeypatch):
+    rows = [(i, f"so {sample(r)} it is") for i, (_, _, _, r) in enumerate(licenses.rules())]
+    rows += list(enumerate(["Released under GPL version 3", "distributed under the MPL 2.0", "available under the BSD", "published under Apache 2.0"], len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gated = by_id(licenses.scan_licenses(df))
+    for i, (_, label, _, _) in enumerate(licenses.rules()):
+        assert label in gated[i]["labels"].split(","), rows[i]
+    assert [gated[i]["labels"] for i, _ in rows[-4:]] == ["gpl-3", "mpl-2", "bsd", "apache-2"]
+    monkeypatch.setattr(licenses, "_GATE", "")
+    assert by_id(licenses.scan_licenses(df)) == gated
