@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,17 +17,24 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: label, the names by which texts call the license (as regular
-#: expressions over lower-case words), and the versions that a text may add.
+#: label, the names by which texts call the license (as regular expressions over lower-case words), and
+#: the versions that a text may add. A name without a version has the label without one (apache, gpl).
 FAMILIES = (
     ("mit", ("mit", "mit x11", "expat"), ()),
     ("apache-2", ("apache", "apache software", "asl"), ("2 0", "2")),
     ("apache-1.1", ("apache", "apache software"), ("1 1",)),
-    ("gpl-3", ("gnu general public", "gnu gpl", "gpl", "gplv3"), ("3 0", "3", "3 or later")),
-    ("gpl-2", ("gnu general public", "gnu gpl", "gpl", "gplv2"), ("2 0", "2", "2 or later")),
-    ("lgpl-3", ("gnu lesser general public", "gnu lgpl", "lgpl", "lgplv3"), ("3 0", "3")),
+    ("gpl-3", ("gnu general public", "gnu gpl", "gpl"), ("3 0", "3", "3 or later")),
+    ("gpl-2", ("gnu general public", "gnu gpl", "gpl"), ("2 0", "2", "2 or later")),
+    ("lgpl-3", ("gnu lesser general public", "gnu lgpl", "lgpl"), ("3 0", "3")),
     ("lgpl-2.1", ("gnu lesser general public", "gnu library general public", "gnu lgpl", "lgpl"), ("2 1", "2")),
-    ("agpl-3", ("gnu affero general public", "gnu agpl", "agpl", "agplv3"), ("3 0", "3")),
+    ("agpl-3", ("gnu affero general public", "gnu agpl", "agpl"), ("3 0", "3")),
+    ("gpl-3", ("gplv3", "gpl3"), ()),
+    ("gpl-2", ("gplv2", "gpl2"), ()),
+    ("lgpl-3", ("lgplv3", "lgpl3"), ()),
+    ("lgpl-2.1", ("lgplv2 1", "lgplv2", "lgpl2 1", "lgpl2"), ()),
+    ("agpl-3", ("agplv3", "agpl3"), ()),
+    ("mpl-2", ("mplv2 0", "mplv2", "mpl2 0", "mpl2"), ()),
+    ("apache-2", ("apachev2", "apache2"), ()),
     ("gfdl", ("gnu free documentation", "gfdl"), ("1 1", "1 2", "1 3")),
     ("bsd-3", ("bsd 3 clause", "new bsd", "modified bsd", "revised bsd"), ()),
     ("bsd-2", ("bsd 2 clause", "simplified bsd", "freebsd"), ()),
@@ -44,7 +53,7 @@ FAMILIES = (
     ("python", ("python software foundation", "psf"), ("2",)),
     ("ofl", ("sil open font", "open font", "ofl"), ("1 1",)),
     ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution noncommercial noderiv[a-z]*"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike"), ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"), ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"), ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-sa", ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"), ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nd", ("cc by nd", "creative commons attribution noderiv[a-z]*"), ("2 0", "3 0", "4 0")),
@@ -62,15 +71,57 @@ _TEMPLATES = (
     (95, "spdx license identifier {n}{v}"),
     (60, "licen[cs]e {n}{v}"),
 )
-#: Names that are a license by themselves.
-_ALONE = ("cc by", "cc0", "gnu ", "creative commons", "unlicense", "wtfpl", "public domain", "all rights reserved")
+#: Templates of names with a version: the version before "license", and the notice of the GNU licenses.
+_VERSIONED = ((70, "(?:under (?:the )?(?:terms of the )?)?{n}{v} licen[cs]e"),)
+_NOTICE = (
+    90,
+    "(?:(?:licensed|released|distributed|published|available|provided) )?(?:under (?:the )?(?:terms of the )?)?"
+    "{n} licen[cs]e as published by the free software foundation(?: inc)?(?: either)?{v}(?: of the licen[cs]e)?",
+)
+#: Names that are also plain words: without a version they need "under" and "license", or SPDX.
+_PLAIN = ("artistic", "boost", "common public", "open font")
+#: Names that are a license by themselves, and those that are with a version.
+_ALONE = (
+    "cc by", "cc0", "gnu ", "creative commons", "unlicense", "wtfpl", "public domain", "all rights reserved",
+    "gplv", "gpl2", "gpl3", "lgplv", "lgpl2", "lgpl3", "agplv", "agpl3", "mplv", "mpl2", "apachev2",
+)
+_ALONE_VERSIONED = ("gpl", "lgpl", "agpl", "gfdl", "mpl")
+#: Sentences of license texts and addresses: priority, label, keyword (part of each match), pattern.
+SIGNATURES = (
+    (95, "mit", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (95, "boost", " hereby granted ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    (90, "bsd", " source and binary forms ", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (95, "bsd-3", " endorse or promote ", "neither the names? of (?:[^ ]+ ){1,20}(?:may|can) be used to endorse or promote products"),
+    (95, "isc", " hereby granted ", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    (95, "zlib", " origin of this software ", "the origin of this software must not be misrepresented"),
+    (95, "unlicense", " unencumbered software ", "this is free and unencumbered software released into the public domain"),
+    (95, "wtfpl", " do what the fuck ", "you just do what the fuck you want to"),
+    (95, "gpl-3", " general public license ", "gnu general public license version 3 29 june 2007"),
+    (95, "gpl-2", " general public license ", "gnu general public license version 2 june 1991"),
+    (95, "mpl-2", " source code form ", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (90, "cc0", " publicdomain ", "creativecommons org publicdomain zero 1 0"),
+    (90, "cc-by-nc-nd", " creativecommons ", "creativecommons org licenses by nc nd(?: [0-9] [0-9])?"),
+    (90, "cc-by-nc-sa", " creativecommons ", "creativecommons org licenses by nc sa(?: [0-9] [0-9])?"),
+    (90, "cc-by-nc", " creativecommons ", "creativecommons org licenses by nc(?: [0-9] [0-9])?"),
+    (90, "cc-by-sa", " creativecommons ", "creativecommons org licenses by sa(?: [0-9] [0-9])?"),
+    (90, "cc-by-nd", " creativecommons ", "creativecommons org licenses by nd(?: [0-9] [0-9])?"),
+    (90, "cc-by", " creativecommons ", "creativecommons org licenses by(?: [0-9] [0-9])?"),
+    (90, "apache-2", " apache ", "apache org licenses license 2 0"),
+    (90, "mit", " opensource ", "opensource org licenses mit"),
+    (90, "gpl-3", " gnu ", "gnu org licenses gpl 3 0"),
+    (90, "gpl-2", " gnu ", "gnu org licenses (?:old licenses )?gpl 2 0"),
+)
 
 
 def _gate() -> str:
     """What any rule needs somewhere in the text: a word of its template, or a name that the template takes without one."""
     names = sorted({name for _, names, _ in FAMILIES for name in names})
     alone = [name for name in names if name.startswith(_ALONE)]
-    return f"licen[cs]e|spdx| under (?:the )?(?:terms of the )?(?:{'|'.join(names)})| (?:{'|'.join(alone)})"
+    return "|".join([
+        f"licen[cs]e|spdx| under (?:the )?(?:terms of the )?(?:{'|'.join(names)})| (?:{'|'.join(alone)})",
+        f" (?:{'|'.join(_ALONE_VERSIONED)}) (?:version )?(?:v ?)?[0-9]",
+        *sorted({keyword for _, _, keyword, _ in SIGNATURES}),
+    ])
 
 
 _GATE = _gate()
@@ -78,19 +129,27 @@ _GATE = _gate()
 
 def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, pattern), in order; a version makes a rule more specific."""
-    out = []
+    out = {}
     for label, names, versions in FAMILIES:
+        longest = sorted(versions, key=len, reverse=True)
+        v = f" (?:version )?(?:v ?)?(?:{'|'.join(longest)})"
         for name in names:
             keyword = f" {name.split()[0]} "
-            forms = list(_TEMPLATES)
-            if name.startswith(_ALONE):
-                forms.append((50, "{n}{v}"))
+            alone = [(50, "{n}{v}")] if name.startswith(_ALONE) else []
+            if versions:
+                forms = [*_TEMPLATES, *_VERSIONED, *(alone or [(50, "{n}{v}")] * (name in _ALONE_VERSIONED))]
+                forms += [_NOTICE] * label.startswith(("gpl", "lgpl", "agpl"))
+                for priority, form in forms:
+                    out[priority + 5, label, keyword, f" {form.format(n=name, v=v)}(?= )"] = None
+            forms = [*_TEMPLATES, *alone]
+            if versions and name in _PLAIN:
+                forms = [(90, _TEMPLATES[0][1].replace("(?: licen[cs]e)?", " licen[cs]e")), _TEMPLATES[1], _TEMPLATES[3]]
+            general = re.sub("-[0-9.]+$", "", label) if versions else label
             for priority, form in forms:
-                for v in versions:
-                    out.append((priority + 5, label, keyword, f" {form.format(n=name, v=f'(?: version)?(?: v)? {v}')}(?= )"))
-                if not versions or label.startswith("cc-by"):
-                    out.append((priority, label, keyword, f" {form.format(n=name, v='')}(?= )"))
-    return out
+                out[priority, general, keyword, f" {form.format(n=name, v='')}(?= )"] = None
+    for priority, label, keyword, pattern in SIGNATURES:
+        out[priority, label, keyword, f" {pattern}(?= )"] = None
+    return list(out)
 
 
 def _rule_array():

@@ -188,6 +188,8 @@ def sample(pattern):
             name = str(op)
             if name == "LITERAL":
                 out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "x"
             elif name == "IN":
                 out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
             elif name == "BRANCH":
@@ -213,3 +215,21 @@ def test_license_gate_hides_no_rule(spark, monkeypatch):
     assert [gated[i]["labels"] for i, _ in rows[-4:]] == ["gpl-3", "mpl-2", "bsd", "apache-2"]
     monkeypatch.setattr(licenses, "_GATE", "")
     assert by_id(licenses.scan_licenses(df)) == gated
+
+
+def test_license_notices_and_versions(spark):
+    gnu = "either version 3 of the License, or (at your option) any later version."
+    rows = [
+        ("GPL v3", "gpl-3"), ("LGPL v2.1", "lgpl-2.1"), ("GPLv2 License", "gpl-2"), ("released under the GPLv3", "gpl-3"), ("licensed under LGPLv3", "lgpl-3"),
+        ("AGPLv3 License", "agpl-3"), ("Apache License", "apache"), ("the Mozilla Public License", "mpl"), ("CC0", "cc0"), ("WTFPL", "wtfpl"),
+        ("Apache License, Version 2.0", "apache-2"), ("Apache 2.0 License", "apache-2"), ("under the terms of the GPL v2 or later", "gpl-2"), ("Mozilla Public License v. 2.0", "mpl-2"),
+        ("modify it under the terms of the GNU General Public License as published by the Free Software Foundation, " + gnu, "gpl-3"),
+        ("You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; " + gnu.replace("3", "2.1"), "lgpl-2.1"),
+        ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software")', "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "bsd"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived", "bsd-3"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+        ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"), ("he took artistic license with it", ""), ("version 3 of the boost", ""),
+    ]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")))
+    assert [(t, got[i]["labels"]) for i, (t, _) in enumerate(rows)] == rows
