@@ -20,7 +20,7 @@ BASE = {
 #: Kinds that the method adds. Each needs its check and a score of at least MIN_SCORE.
 ADDED = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "secret": r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{16,128}",
+    "secret": r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{16,}+",
     "number": r"(?<![0-9A-Za-z+.-])[0-9]{2,4}[\x20-][0-9]{2,4}[\x20-][0-9]{3,4}(?![0-9A-Za-z-])",
 }
 #: score of a confirmed span, and words nearby that raise it
@@ -94,10 +94,8 @@ def _may_occur(kind: str, text):
 
 
 def _matches(kind: str, text, pattern: str):
-    """array<struct<start, end, text, before>> of a kind's leftmost, non-overlapping matches.
-
-    The gaps between matches and the matches themselves, laid end to end, give the places.
-    """
+    """Gaps between a kind's leftmost, non-overlapping matches, and the matches themselves; laid end to
+    end they give the places."""
     return F.when(
         _may_occur(kind, text),
         F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")),
@@ -105,15 +103,30 @@ def _matches(kind: str, text, pattern: str):
 
 
 def _spans(kind: str, m, text):
+    """array<struct<kind, start, end, x, before, after>>; before and after are the CONTEXT characters of the
+    whole text, lower-cased, on each side of a match."""
     gaps, found = m["gaps"], m["found"]
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("x"))
-    # one fold: (place reached, spans so far) over (gap, match)
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,x:string,before:string>>")
+    last = lambda *x: F.right(F.concat(*x), F.lit(CONTEXT))
+    first = lambda *x: F.left(F.concat(*x), F.lit(CONTEXT))
+    # from the end: (text from the match on, what follows each match)
+    behind = F.arrays_zip(F.reverse(F.slice(gaps, F.lit(2), F.size(found))).alias("g"), F.reverse(found).alias("x"))
+    after = F.aggregate(
+        behind,
+        F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out")),
+        lambda a, p: F.struct(
+            first(p["x"], p["g"], a["head"]).alias("head"), F.concat(a["out"], F.array(first(p["g"], a["head"]))).alias("out")
+        ),
+        lambda a: F.reverse(a["out"]),
+    )
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("x"), after.alias("after"))
+    # one fold: (place reached, text up to there, spans so far) over (gap, match)
+    empty = F.array().cast("array<struct<kind:int,start:int,end:int,x:string,before:string,after:string>>")
     folded = F.aggregate(
         pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")),
         lambda a, p: F.struct(
             (a["at"] + F.length(p["g"]) + F.length(p["x"])).alias("at"),
+            last(a["tail"], p["g"], p["x"]).alias("tail"),
             F.concat(
                 a["out"],
                 F.array(
@@ -122,7 +135,8 @@ def _spans(kind: str, m, text):
                         (a["at"] + F.length(p["g"])).alias("start"),
                         (a["at"] + F.length(p["g"]) + F.length(p["x"])).alias("end"),
                         p["x"].alias("x"),
-                        F.lower(F.right(p["g"], F.lit(CONTEXT))).alias("before"),
+                        F.lower(last(a["tail"], p["g"])).alias("before"),
+                        F.lower(p["after"]).alias("after"),
                     )
                 ),
             ).alias("out"),
@@ -139,8 +153,8 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Places count code points, end exclusive. Base kinds are the leftmost non-overlapping matches
     that pass their check (parts at most 255, Luhn, digit counts); a match that fails is dropped
     and not tried again. Added kinds are account numbers (mod 97), named secrets and grouped
-    numbers; context words within CONTEXT characters before a match raise its score, and added spans need
-    MIN_SCORE and must not overlap a base span. Null or empty text has no span.
+    numbers; context words within CONTEXT characters before or after a match raise its score, and added
+    spans need MIN_SCORE and must not overlap a base span. Null or empty text has no span.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select("*", *[_matches(k, text, p).alias(f"_m_{k}") for k, p in (BASE | ADDED).items()])
@@ -153,7 +167,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             good,
             lambda s: F.struct(
                 s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
-                F.least(F.lit(1.0), F.lit(score) + F.when(s["before"].rlike(words), F.lit(RAISE)).otherwise(F.lit(0.0))).alias("score"),
+                F.least(F.lit(1.0), F.lit(score) + F.when(s["before"].rlike(words) | s["after"].rlike(words), F.lit(RAISE)).otherwise(F.lit(0.0))).alias("score"),
             ),
         )
 

@@ -153,6 +153,20 @@ def test_pii_method_adds_and_redacts(spark):
     assert text[0] == "pay [IBAN] now" and text[4] == "é[EMAIL]é" and text[5] is None
 
 
+def test_pii_context_on_both_sides_and_long_secrets(spark):
+    key = "Ab3/" * 100
+    rows = [
+        (0, "phone: 555 123 4567, 555 123 4568"), (1, "555 123 4567 (mobile)"), (2, "555 123 4567, 555 123 4568 or 555 123 4569 by phone"), (3, "555 123 4567 of the parts"),
+        (4, f"token={key} end"), (5, "555 123 4567" + " é" * 20 + "phone"), (6, "555 123 4567" + " é" * 15 + " phone"), (7, "phone" + " é" * 17 + " 555 123 4567"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_report(df).collect()}
+    assert spans[0] == "number:7:19,number:21:33" and spans[1] == "number:0:12" and spans[3] == spans[5] == ""
+    assert spans[2] == "number:0:12,number:14:26,number:30:42" and spans[6] == "number:0:12" and spans[7] == "number:40:52"
+    text = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert text[4] == "[SECRET] end" and text[0] == "phone: [NUMBER], [NUMBER]"
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
