@@ -76,16 +76,19 @@ def mix_plan(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per input row: (id, size, source_size, target, taken, copies, crc, source).
+    """One row per input row: (id, size, source_size, target, taken, copies, positions, places,
+    crc, source).
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the text. Within a source the rows are laid end to end
     in a seeded shuffled order, which is repeated up to ``most`` times and cut into blocks of
     BLOCK words; the schedule's slots of the source take its blocks in turn, the last in part, so
     that a source's words taken are its target, rounded. taken: words of the row that the mix
-    takes, repeats counted; copies: in how many passes the row's middle word is taken.
+    takes, repeats counted; positions: the places in the schedule of the slots that take them, one
+    for each piece of the row in a block, ascending; copies: in how many passes the row's middle
+    word is taken; places: the positions of these words' slots, ascending.
 
     Hot sources: offsets come from hash-range buckets, blocks join slots on (source, block).
-    Null or empty text: size 0, taken 0. Null source: a source of its own, last. Null ids, ties and
+    Null or empty text: size 0, taken 0, no positions; it is copied by the place where it stands. Null source: a source of its own, last. Null ids, ties and
     repeated rows: ordered by crc; each row stays. Empty input gives no rows. Extra columns are
     ignored. Only column functions are used.
     """
@@ -114,46 +117,52 @@ def mix_plan(
     discard(base)
     slots = materialize(_slots(spark, sources), "mix-slots")
     passes = F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))).alias("pass")
-    piece = laid.where("size > 0").select("uid", "sid", "size", "start", "source_size", "want", passes)
+    piece = laid.select("uid", "sid", "size", "start", "source_size", "want", passes)
     piece = piece.withColumn("a", F.col("pass") * F.col("source_size") + F.col("start"))
-    piece = piece.withColumn("z", F.least(F.col("a") + F.col("size"), F.col("want"))).where("a < z")
-    piece = piece.withColumn("r", F.explode(F.expr(f"sequence(a div {BLOCK}, (z - 1) div {BLOCK})")))
+    piece = piece.withColumn("z", F.least(F.col("a") + F.col("size"), F.col("want"))).where("a < want")
+    piece = piece.withColumn("r", F.explode(F.expr(f"sequence(a div {BLOCK}, greatest(a, z - 1) div {BLOCK})")))
     words = F.expr(f"least(z, (r + 1) * {BLOCK}) - greatest(a, r * {BLOCK})")
-    took = piece.select("uid", "sid", "r", words.alias("words")).join(slots, ["sid", "r"])
-    taken = took.groupBy("uid").agg(F.sum("words").alias("taken"))
-    middle = F.col("start") + F.expr("size div 2")
-    copies = sum(
-        ((F.lit(p) * F.col("source_size") + middle) < F.col("want")).cast("int") for p in range(int(-(-most // 1)))
+    # the middle word; a row without words has its place in the block where it stands
+    middle = F.expr(f"a + size div 2 < want and (a + size div 2) div {BLOCK} = r")
+    took = piece.select("uid", "sid", "r", words.alias("words"), middle.alias("middle")).join(slots, ["sid", "r"])
+    taken = took.groupBy("uid").agg(
+        F.sum("words").alias("taken"),
+        F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.col("position")))).alias("positions"),
+        F.sort_array(F.collect_list(F.when(F.col("middle"), F.col("position")))).alias("places"),
     )
+    none = F.array().cast("array<long>")
     return laid.join(taken, "uid", "left").select(
         F.col("doc_id").alias(id_col),
         "size",
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        copies.cast("int").alias("copies"),
+        F.size(F.coalesce("places", none)).alias("copies"),
+        F.coalesce("positions", none).alias("positions"),
+        F.coalesce("places", none).alias("places"),
         "crc",
         "source",
     )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, whole, each as often as the mix takes it (0 to ``most`` times).
+    """The rows of ``docs``, whole, each as often as the mix takes it (0 to ``most`` times), in the
+    order of the schedule: a copy stands where the schedule has the block of its middle word.
 
-    Rows that agree in id, source and text share one number of copies. Columns stay as they are.
+    Rows that agree in id, source and text share one list of places. Columns stay as they are.
     """
     plan = mix_plan(docs, **options).groupBy(
         F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("crc").alias("_crc")
-    ).agg(F.max("copies").alias("_copies"))
+    ).agg(F.max(F.struct("copies", "places")).alias("_most"))
     own = docs.withColumn("_c", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = own.join(
-        plan.where("_copies > 0"),
+        plan.where("_most.copies > 0"),
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_c") == F.col("_crc")),
     )
-    repeated = joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    repeated = joined.withColumn("_at", F.explode("_most.places"))
+    return repeated.orderBy("_at", F.xxhash64("_id", "_src", "_crc")).select(*docs.columns)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "positions")

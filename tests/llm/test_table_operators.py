@@ -260,6 +260,32 @@ def test_mixing_schedule_is_spread(spark):
     assert abs(first.count(1) / len(first) - 0.75) < 0.05
 
 
+def test_mixing_gives_the_order_of_the_schedule(spark):
+    r = random.Random(3)
+    texts = [(i, "abc"[min(2, i % 5)], " ".join(["w"] * r.choice([0, 200, 900, 3000]))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, source string, text string").repartition(4)
+    plan = {x["doc_id"]: x for x in mixing.mix_plan(docs).collect()}
+    at = defaultdict(set)
+    for x in plan.values():
+        assert len(x["places"]) == x["copies"] and set(x["places"]) <= set(x["positions"]) | (set(x["places"]) if x["size"] == 0 else set())
+        assert bool(x["positions"]) == (x["taken"] > 0)
+        for p in x["positions"]:
+            at[p].add(x["source"])
+    assert all(len(sources) == 1 for sources in at.values())  # a slot takes a block of one source
+    assert len(at) >= sum(x["taken"] for x in plan.values()) // mixing.BLOCK
+    out = [(x["doc_id"], x["source"]) for x in mixing.mix_documents(docs).collect()]
+    assert Counter(i for i, _ in out) == Counter({i: x["copies"] for i, x in plan.items() if x["copies"]})
+    seen, order = Counter(), []
+    for i, _ in out:
+        order.append(plan[i]["places"][seen[i]])
+        seen[i] += 1
+    assert order == sorted(order)
+    words = lambda rows: {s: sum(plan[i]["size"] for i, t in rows if t == s) for s in "abc"}
+    half, whole = words(out[: len(out) // 2]), words(out)
+    for s in "abc":
+        assert abs(half[s] / sum(half.values()) - whole[s] / sum(whole.values())) < 0.06
+
+
 def test_crf_forward_backward_equals_enumeration():
     import itertools
 
