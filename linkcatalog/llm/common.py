@@ -23,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder of this machine stands in.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session, whose tasks all run on this
+    machine, may leave it unset: then a temporary folder stands in. On a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", "linkcatalog")
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints", "linkcatalog")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,42 +55,56 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of the hashes by which rows are shuffled: fifteen hex digits of an md5, which SQL has as well.
+HASH_BITS = 60
+
+
+def shuffle_hash(seed: int, *parts):
+    """0 to 2**60 - 1, by the md5 of the parts between colons; null parts are blank."""
+    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(str(seed)))
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
 def hash_bucket(h, n_buckets: int):
-    """Order-preserving bucket 0..n-1 of a signed 64-bit hash column."""
-    return F.least(
-        F.floor((h.cast("double") + F.lit(9.223372036854775807e18)) / F.lit(1.8446744073709551615e19) * F.lit(float(n_buckets))),
-        F.lit(n_buckets - 1),
-    ).cast("long")
+    """Order-preserving bucket from 0 on of a HASH_BITS hash column, ``n_buckets`` at most."""
+    return F.call_function("div", h, F.lit(-(-(1 << HASH_BITS) // n_buckets)))
+
+
+#: Buckets whose sums meet in one window of :func:`global_rank`; these runs' sums meet in another.
+RUN = 4096
 
 
 def global_rank(df: DataFrame, groups: list[str], bucket: str, order: list, out: str, weight=None) -> DataFrame:
     """Adds the 0-based position (or, with ``weight``, the sum of weights before the row) within
     ``groups`` by (``bucket``, ``order``), without ever bringing a group into one task.
 
-    ``bucket`` must be non-decreasing along the wanted order. Only one row per (group, bucket)
-    meets in the window that makes the offsets; rows meet only those of their own bucket.
+    ``bucket`` must be non-decreasing along the wanted order. Rows meet only those of their own
+    bucket, bucket sums only those of their run of RUN buckets, and one row per (group, run) meets in
+    the last window: a group of 1e11 rows in buckets of 1024 has 24,000 of them.
     """
     keys = [*groups, bucket]
     w = F.lit(1) if weight is None else F.col(weight)
-    sums = df.groupBy(*keys).agg(F.sum(w).cast("long").alias("_sum"))
-    by = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    offs = sums.withColumn(
-        "_off", F.coalesce(F.sum("_sum").over(by.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_sum")
+    before = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = df.groupBy(*keys).agg(F.sum(w).cast("long").alias("_sum")).withColumn("_run", F.expr(f"`{bucket}` div {RUN}"))
+    runs = sums.groupBy(*groups, "_run").agg(F.sum("_sum").alias("_of_run"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    runs = runs.withColumn("_start", before("_of_run", whole.orderBy("_run"))).drop("_of_run")
+    sums = sums.withColumn("_off", before("_sum", Window.partitionBy(*groups, "_run").orderBy(bucket))).drop("_sum")
+    offs = _joined(sums, runs, [*groups, "_run"]).select(*keys, (F.col("_off") + F.col("_start")).alias("_off"))
     inner = Window.partitionBy(*keys).orderBy(*order)
-    if weight is None:
-        ranked = df.withColumn("_in", F.row_number().over(inner) - 1)
-    else:
-        ranked = df.withColumn(
-            "_in", F.coalesce(F.sum(weight).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        )
-    cond = [ranked[k].eqNullSafe(offs[k]) for k in keys]
-    joined = ranked.join(offs, cond, "left")
-    for k in keys:
-        joined = joined.drop(offs[k])
+    own = F.row_number().over(inner) - 1 if weight is None else before(weight, inner)
+    joined = _joined(df.withColumn("_in", own), offs, keys)
     return joined.withColumn(out, (F.col("_in") + F.col("_off")).cast("long")).drop("_in", "_off")
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    out = left.join(right, [left[k].eqNullSafe(right[k]) for k in keys], "left")
+    for k in keys:
+        out = out.drop(right[k])
+    return out
+
+
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.OP1_SQL,
+        "op4_proportional_sharding": sharding.OP4_SQL,
         "op5_quality_cascade": quality_rules.OP5_SQL,
+        "op7_source_mixing": mixing.OP7_SQL,
     }

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SEP_CLASS, discard, global_rank, hash_bucket, materialize, table
+from .common import SEP_CLASS, discard, global_rank, hash_bucket, materialize, shuffle_hash, table
 
 BUCKET_ROWS = 1024
-#: Words in a block.
-BLOCK = 1024
+#: Words in a block, at most; smaller mixes take smaller blocks, so that they too have SLOTS slots.
+BLOCK, SLOTS = 1024, 1 << 20
 #: Cells of the unit interval in which schedule points meet the sources' intervals.
 CELLS = 1024
 SLOT_RUN = 1 << 16
@@ -41,72 +41,75 @@ def source_targets(base: DataFrame, weights: tuple[int, ...], share: float, most
     return listed.select("sid", "source", "source_size", target.cast("double").alias("target"))
 
 
-def _slots(spark: SparkSession, sources: DataFrame) -> DataFrame:
-    """(sid, r, position): the schedule. Slot k falls to the source whose stretch of cumulative
-    targets holds the fractional part of (k + 1) times the golden ratio; r ranks a source's slots.
-    A source that the schedule leaves short by a few gets the rest at the end."""
-    need = sources.select("sid", "want", F.ceil(F.col("want") / BLOCK).cast("long").alias("n"))
-    one = Window.partitionBy(F.lit(0)).orderBy("sid")
-    cum = need.withColumn("hi", F.sum("want").over(one.rowsBetween(Window.unboundedPreceding, 0)).cast("double"))
-    total, n_slots = need.agg(F.sum("want"), F.sum("n")).first()
-    total, n_slots = int(total or 0), int(n_slots or 0)
-    if not n_slots:
+def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, step: float = GOLDEN) -> DataFrame:
+    """(sid, r, position): slot ``position`` falls to the source whose stretch of the cumulative targets
+    (``sources``: sid, want) holds the fractional part of (position + 1) * step; r ranks a source's slots."""
+    total = sources.agg(F.sum("want")).first()[0]
+    if not n_slots or not total:
         return spark.createDataFrame([], "sid int, r long, position long")
-    cum = cum.withColumn("lo", (F.col("hi") - F.col("want")) / float(total)).withColumn("hi", F.col("hi") / float(total))
+    one = Window.partitionBy(F.lit(0)).orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
+    cum = sources.where("want > 0").select("sid", "want", F.sum("want").over(one).alias("to"))
+    cum = cum.select("sid", ((F.col("to") - F.col("want")) / F.lit(float(total))).alias("lo"), (F.col("to") / F.lit(float(total))).alias("hi"))
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
-    stretches = cum.where("want > 0").withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    u = (F.col("k") + 1) * F.lit(GOLDEN)
+    stretches = cum.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    u = (F.col("k") + 1) * F.lit(step)
     points = spark.range(n_slots).withColumnRenamed("id", "k").withColumn("u", u - F.floor(u)).withColumn("cell", cell(F.col("u")))
-    hit = points.join(stretches.select("cell", "sid", "lo", "hi", "n"), "cell").where("u >= lo and u < hi")
-    given = global_rank(hit.select("sid", "k", "n", F.expr(f"k div {SLOT_RUN}").alias("run")), ["sid"], "run", [F.col("k")], "r")
-    given = materialize(given.where("r < n").select("sid", "r", F.col("k").alias("position")), "slots")
-    have = given.groupBy("sid").agg(F.count("*").alias("have"))
-    short = need.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < n")
-    tail = short.select("sid", F.explode(F.expr("sequence(have, n - 1)")).alias("r"))
-    return given.union(tail.select("sid", "r", (F.lit(n_slots) + F.col("r")).alias("position")))
+    hit = points.join(stretches, "cell").where("u >= lo and u < hi")
+    ranked = global_rank(hit.select("sid", "k", F.expr(f"k div {SLOT_RUN}").alias("run")), ["sid"], "run", [F.col("k")], "r")
+    return ranked.select("sid", "r", F.col("k").alias("position"))
 
 
 def mix_plan(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
-    most: float = 2.0,
+    most: int = 2,
     seed: int = 11,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    block: int | None = None,
+    step: float = GOLDEN,
 ) -> DataFrame:
     """One row per input row: (id, size, source_size, target, taken, copies, positions, places,
     crc, source).
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the text. Within a source the rows are laid end to end
-    in a seeded shuffled order, which is repeated up to ``most`` times and cut into blocks of
-    BLOCK words; the schedule's slots of the source take its blocks in turn, the last in part, so
-    that a source's words taken are its target, rounded. taken: words of the row that the mix
-    takes, repeats counted; positions: the places in the schedule of the slots that take them, one
-    for each piece of the row in a block, ascending; copies: in how many passes the row's middle
-    word is taken; places: the positions of these words' slots, ascending.
+    in a seeded shuffled order, ``most`` times over, and cut into blocks of ``block`` words. The
+    schedule of (all targets / block) slots says how many blocks each source gives and where they
+    stand: the blocks that join its slots are taken, no others. So the words taken of a source
+    differ from its target by the few blocks that a low-discrepancy sequence strays. taken: words
+    of the row in taken blocks, repeats counted; positions: the places in the schedule of these
+    blocks, one for each piece of the row, ascending; copies: in how many passes the row's middle
+    word is taken; places: the positions of these words' blocks, ascending.
+
+    ``block`` None: all targets over SLOTS, from 1 to BLOCK words.
 
     Hot sources: offsets come from hash-range buckets, blocks join slots on (source, block).
-    Null or empty text: size 0, taken 0, no positions; it is copied by the place where it stands. Null source: a source of its own, last. Null ids, ties and
+    Null or empty text: size 0, taken 0, no positions; it is copied by the place where it stands.
+    Null source: a source of its own, last. Null ids are shuffled by their texts' crc. Ties and
     repeated rows: ordered by crc; each row stays. Empty input gives no rows. Extra columns are
     ignored. Only column functions are used.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = F.col(id_col).cast("long")
     base = materialize(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
+            own.alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.regexp_count(text, F.lit(f"[^{SEP_CLASS}]+")).cast("long").alias("size"),
             F.crc32(text).alias("crc"),
-            F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("h"),
+            shuffle_hash(seed, own, F.when(own.isNull(), F.crc32(text))).alias("h"),
             F.monotonically_increasing_id().alias("uid"),
         ),
         "mix-rows",
     )
     n_buckets = max(1, -(-base.count() // BUCKET_ROWS))
     sources = materialize(source_targets(base, weights, share, most).withColumn("want", F.round("target").cast("long")), "mix-sources")
+    total = sources.agg(F.sum("want")).first()[0] or 0
+    size = block or min(BLOCK, max(1, total // SLOTS))
+    slots = materialize(schedule(spark, sources.select("sid", "want"), total // size, step), "mix-slots")
     keyed = base.join(
         sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))
     ).drop("_s").withColumn("b", hash_bucket(F.col("h"), n_buckets))
@@ -115,15 +118,14 @@ def mix_plan(
         "mix-laid",
     )
     discard(base)
-    slots = materialize(_slots(spark, sources), "mix-slots")
-    passes = F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))).alias("pass")
-    piece = laid.select("uid", "sid", "size", "start", "source_size", "want", passes)
-    piece = piece.withColumn("a", F.col("pass") * F.col("source_size") + F.col("start"))
-    piece = piece.withColumn("z", F.least(F.col("a") + F.col("size"), F.col("want"))).where("a < want")
-    piece = piece.withColumn("r", F.explode(F.expr(f"sequence(a div {BLOCK}, greatest(a, z - 1) div {BLOCK})")))
-    words = F.expr(f"least(z, (r + 1) * {BLOCK}) - greatest(a, r * {BLOCK})")
+    discard(sources)
+    passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass")
+    piece = laid.select("uid", "sid", "size", "start", "source_size", passes)
+    piece = piece.select("uid", "sid", "size", F.expr("pass * source_size + start").alias("a"), F.expr("pass * source_size + start + size").alias("z"))
+    piece = piece.withColumn("r", F.explode(F.expr(f"sequence(a div {size}, greatest(a, z - 1) div {size})")))
+    words = F.expr(f"least(z, (r + 1) * {size}) - greatest(a, r * {size})")
     # the middle word; a row without words has its place in the block where it stands
-    middle = F.expr(f"a + size div 2 < want and (a + size div 2) div {BLOCK} = r")
+    middle = F.expr(f"(a + size div 2) div {size} = r")
     took = piece.select("uid", "sid", "r", words.alias("words"), middle.alias("middle")).join(slots, ["sid", "r"])
     taken = took.groupBy("uid").agg(
         F.sum("words").alias("taken"),
@@ -145,24 +147,55 @@ def mix_plan(
     )
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, whole, each as often as the mix takes it (0 to ``most`` times), in the
     order of the schedule: a copy stands where the schedule has the block of its middle word.
 
-    Rows that agree in id, source and text share one list of places. Columns stay as they are.
+    Rows that agree in id, source and text share one list of places. Columns stay as they are,
+    whatever their names.
     """
-    plan = mix_plan(docs, **options).groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("crc").alias("_crc")
-    ).agg(F.max(F.struct("copies", "places")).alias("_most"))
-    own = docs.withColumn("_c", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = own.join(
-        plan.where("_most.copies > 0"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_c") == F.col("_crc")),
-    )
-    repeated = joined.withColumn("_at", F.explode("_most.places"))
-    return repeated.orderBy("_at", F.xxhash64("_id", "_src", "_crc")).select(*docs.columns)
+    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(
+        F.col(id_col).alias("id"), F.col("source").alias("src"), F.col("crc")
+    ).agg(F.max(F.struct("copies", "places")).alias("most"))
+    own = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("id"),
+        F.col(source_col).cast("string").alias("src"),
+        F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("crc"),
+    ).alias("o")
+    plan = plan.where("most.copies > 0").alias("p")
+    joined = own.join(plan, [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("id", "src", "crc")])
+    repeated = joined.select("o.row", "o.id", "o.src", "o.crc", F.explode("p.most.places").alias("at"))
+    return repeated.orderBy("at", F.xxhash64("id", "src", "crc")).select("row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "positions")
+    first = F.when(F.size("positions") > 0, F.col("positions")[0])
+    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"), F.size("positions").alias("n_blocks"))
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '::11') AS h,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM per),
+f AS (SELECT *, cap / w AS fullness FROM w),
+l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM per) - coalesce(sum(cap) OVER (ORDER BY fullness, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY fullness, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev, row_number() OVER (ORDER BY fullness, sid) AS k FROM f),
+fix AS (SELECT min(k) AS k, min_by(lev, k) AS lev FROM l WHERE fullness > lev),
+s AS (SELECT sid, source, source_size, CASE WHEN fix.k IS NULL OR l.k < fix.k THEN cap ELSE fix.lev * w END AS target FROM l, fix),
+want AS (SELECT *, CAST(round(target) AS BIGINT) AS want FROM s),
+total AS (SELECT CAST(sum(want) AS BIGINT) AS total, least({BLOCK}, greatest(1, CAST(sum(want) AS BIGINT) // {SLOTS})) AS size FROM want),
+cum AS (SELECT sid, (CAST(sum(want) OVER (ORDER BY sid) - want AS DOUBLE) / total) AS lo, (CAST(sum(want) OVER (ORDER BY sid) AS DOUBLE) / total) AS hi FROM want, total),
+points AS (SELECT k, (k + 1) * {GOLDEN}::DOUBLE - floor((k + 1) * {GOLDEN}::DOUBLE) AS u FROM total, unnest(generate_series(0, total.total // total.size - 1)) AS t(k)),
+won AS (SELECT sid, list(k ORDER BY k) AS ks FROM points JOIN cum ON u >= lo AND u < hi GROUP BY sid),
+laid AS (SELECT doc_id, d.size, source_size, target, sid, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN want ON d.source IS NOT DISTINCT FROM want.source),
+passes AS (SELECT doc_id, sid, p * source_size + start AS a, p * source_size + start + size AS z FROM laid, (VALUES (0), (1)) AS v(p) WHERE size > 0),
+took AS (SELECT doc_id, greatest(0, least(z, len(ks) * total.size) - a) AS words, ks[CAST(a // total.size AS BIGINT) + 1:CAST((z - 1) // total.size AS BIGINT) + 1] AS ks
+    FROM passes JOIN won USING (sid), total),
+sums AS (SELECT doc_id, sum(words) AS taken, min(ks[1]) AS first_position, sum(len(ks)) AS n_blocks FROM took GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_position AS BIGINT) AS first_position,
+  CAST(coalesce(n_blocks, 0) AS INTEGER) AS n_blocks FROM laid LEFT JOIN sums USING (doc_id)
+"""
