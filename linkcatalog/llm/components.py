@@ -43,4 +43,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = tuple(state)
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return out.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = out.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out._stored_at = edges._stored_at
+    return out

@@ -16,42 +16,41 @@ from .components import components
 from .trie_join import join_block, needed
 
 U64 = np.uint64
-#: Shingles of a set that a posting carries, and how many of them a linked pair must share.
+#: Shingles of a set that a posting carries, and the part of them (one of SKETCH_PART) that a linked pair must share.
 #: Of the smallest 48 of a union at least four fifths are shared on average where Jaccard is
-#: 0.8 or more; fewer than 16 shared has a chance below 1e-10 for such a pair.
-SKETCH, SKETCH_SHARED = 48, 16
+#: 0.8 or more; fewer than a third (16) shared has a chance below 1e-10 for such a pair.
+SKETCH, SKETCH_PART = 48, 3
 #: Prefix tokens that are posted at most. In hash order each token of a union is shared with a
 #: chance of 0.8 or more, so that a linked pair shares none of 16 with a chance of 7e-12; sets
 #: of under 80 shingles post the whole exact prefix.
 PREFIX = 16
-#: Sets of one key, or of one key and size class, which meet in one task; more are dealt out.
-STRIP = 2048
+#: Sets of one key, or of one key and size class, which meet in one task, and their shingles in all; more
+#: are dealt out.
+STRIP, STRIP_SHINGLES = 768, 1 << 21
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, prefix: int | None, sketch: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_chunks(batch, "text"):
-            sets = kernels.shingle_sets(*utf8_parts(part.column(1)), k)
+            sets = kernels.shingle_sets(*utf8_parts(part.column(2)), k)
             digests = [kernels.set_digest(s) if len(s) else (0, 0) for s in sets]
-            keys = [s[: min(PREFIX, len(s) + needed_floor(len(s), num, den) + 1)].view(np.int64).tolist() for s in sets]
+            # the exact prefix: a set shares num / den of itself or more with any partner
+            exact = [len(s) - -(-num * len(s) // den) + 1 if len(s) else 0 for s in sets]
+            keys = [s[: e if prefix is None else min(prefix, e)].view(np.int64).tolist() for s, e in zip(sets, exact)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
-                    pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
+                    pa.array([s[:sketch].tobytes() for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "d1", "d2", "keys", "sk"],
+                names=["id", "h", "n", "d1", "d2", "keys", "sk"],
             )
 
 
-def needed_floor(n: int, num: int, den: int) -> int:
-    """Minus the least overlap that a set of ``n`` needs with any partner."""
-    return -(-(-num * n // den))
-
-
 def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_chunks(batch, "text"):
@@ -97,13 +96,15 @@ def _block(group: pa.Table):
     return group, body, int(probe.sum()), same, U64(np.int64(group.column("key")[0].as_py()).view(np.uint64))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows that have a possible partner in their block, judged by sketches."""
+def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, sketch: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows that have a possible partner in their block, judged by sketches (by whole sets where ``sketch`` is None)."""
 
     def below(a, small, big):
         # a sketch that is cut may have lost common tokens: no exact bound where any set below is cut
         exact = needed(a, small, num, den)
-        return np.where((np.asarray(a) <= SKETCH) & (big <= SKETCH), exact, np.minimum(exact, SKETCH_SHARED))
+        if sketch is None:
+            return exact
+        return np.where((np.asarray(a) <= sketch) & (big <= sketch), exact, np.minimum(exact, sketch // SKETCH_PART))
 
     def least(a, b):
         return below(a, b, b)
@@ -163,20 +164,22 @@ def _dealt(df: DataFrame) -> DataFrame:
 def _blocks(posted: DataFrame, num: int, den: int) -> DataFrame:
     """(*BLOCK, probe, rep) from postings (key, rep, n).
 
-    A key of up to STRIP sets is one block. Beyond, sizes of linked sets differ by den / num at most,
-    so that a set meets only those of its own and of the next size class: the block of a key and
-    class holds the sets of the class as probes and those of the next class beside them. A class of
-    more than STRIP sets is dealt over pairs of strips.
+    A key of up to STRIP sets (and STRIP_SHINGLES shingles) is one block. Beyond, sizes of linked sets
+    differ by den / num at most, so that a set meets only those of its own and of the next size class:
+    the block of a key and class holds the sets of the class as probes and those of the next class
+    beside them. A class of more sets or shingles is dealt over pairs of strips.
     """
-    often = posted.groupBy("key").agg(F.count("*").alias("of_key")).where("of_key > 1")
+    often = posted.groupBy("key").agg(F.count("*").alias("of_key"), F.sum("n").alias("v")).where("of_key > 1")
     width = math.log(den / num * 1.0001)  # a little wide, so that rounding loses no pair
-    size_class = F.when(F.col("of_key") > STRIP, F.floor(F.log("n") / width)).otherwise(-1).cast("int")
-    rows = posted.join(often, "key").select("key", "rep", size_class.alias("bucket"))
-    counts = rows.groupBy("key", "bucket").agg(F.count("*").alias("g"))
-    above = counts.where("bucket > 0").select("key", (F.col("bucket") - 1).alias("bucket"), F.col("g").alias("gu"))
-    strips = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0)) / STRIP).cast("int")
+    many = (F.col("of_key") > STRIP) | (F.col("v") > STRIP_SHINGLES)
+    size_class = F.when(many, F.floor(F.log("n") / width)).otherwise(-1).cast("int")
+    rows = posted.join(often, "key").select("key", "rep", "n", size_class.alias("bucket"))
+    strips = F.ceil(F.greatest(F.count("*") / STRIP, F.sum("n") / STRIP_SHINGLES)).cast("int")
+    counts = rows.groupBy("key", "bucket").agg(F.count("*").alias("g"), strips.alias("ns"))
+    rows = rows.drop("n")
+    above = counts.where("bucket > 0").select("key", (F.col("bucket") - 1).alias("bucket"), F.col("g").alias("gu"), F.col("ns").alias("nu"))
     made = counts.join(above, ["key", "bucket"], "left").where("g + coalesce(gu, 0) > 1")
-    made = made.select("key", "bucket", strips("g").alias("ns"), strips("gu").alias("nu"))
+    made = made.select("key", "bucket", "ns", F.coalesce("nu", F.lit(0)).alias("nu"))
     own = rows.withColumn("probe", F.lit(1))
     upper = rows.where("bucket > 0").withColumn("bucket", F.col("bucket") - 1).withColumn("probe", F.lit(0))
     out = own.union(upper).join(made, ["key", "bucket"])
@@ -191,7 +194,14 @@ def _blocks(posted: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    num: int = 80,
+    den: int = 100,
+    prefix: int | None = PREFIX,
+    sketch: int | None = SKETCH,
 ) -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, n_links).
 
@@ -203,55 +213,77 @@ def jaccard_classes(
     blocks of a key walk a prefix tree over bottom sketches to find rows with a possible
     partner; only these get their whole sets, in the one block of a pair's smallest common
     token, where a second prefix-tree walk decides exactly. Within a key of many sets they
-    meet only those of like size; size classes of many sets are dealt over strip pairs of at most
-    2 * STRIP sets.
+    meet only those of like size; size classes of many sets are dealt over strip pairs of bounded size.
+
+    ``prefix`` and ``sketch`` bound the tokens that a set posts and that a posting carries; the odds that a
+    link is lost by them are below 1e-9 each (PREFIX, SKETCH). None for both is the exact join: whole
+    prefixes are posted and whole sets are walked, for some four times the postings.
 
     Null or empty text, or text without words: n_shingles 0, linked with nothing, component_id
-    its own id. Null ids: the row keeps a null id; its component_id is the smallest id of its
-    component, null if there is none. Rows that repeat an id are one node. Repeated rows stay.
-    Very long texts are taken whole. Extra columns are ignored. Empty input gives no rows.
+    its own id. Null ids link like others; component_id is the smallest id of the component, null
+    where no row of it has one. Rows that repeat an id are nodes of their own, by their texts.
+    Repeated rows stay. Very long texts are taken whole. Extra columns are ignored. Empty input gives
+    no rows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = materialize(
+    found = classify(docs, id_col, text_col, k, num, den, prefix, sketch)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")
+
+
+def classify(
+    docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100, prefix: int | None = PREFIX, sketch: int | None = SKETCH
+) -> DataFrame:
+    """(id, h, n_shingles, component, component_id, n_links) as in :func:`jaccard_classes`. h is a hash of the
+    text, which with the id tells rows apart; component names the component where ids are null or repeated
+    as well, null for rows without a set."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    sketches = materialize(
         src.mapInArrow(
-            lambda it: _sketches(it, k, num, den), "id long, n long, d1 long, d2 long, keys array<long>, sk binary"
+            lambda it: _sketches(it, k, num, den, prefix, sketch), "id long, h long, n long, d1 long, d2 long, keys array<long>, sk binary"
         ),
         "sketches",
     )
-    some = feats.where("n > 0")
-    classes = materialize(
-        some.groupBy("d1", "d2")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sk").alias("body"))
-        .where("rep is not null"),
-        "classes",
-    )
-    sketches, feats = feats, materialize(feats.select("id", "n", "d1", "d2"), "members")
+    # one row of each class stands for it: of its rows with an id, if any, the one with the smallest
+    stands = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h")))
+    classes = (
+        sketches.where("n > 0").groupBy("d1", "d2")
+        .agg(stands.alias("at"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sk").alias("body"))
+        .select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("at.id").alias("id"), F.col("at.h").alias("h"), "m", "n", "keys", "body")
+    )
+    classes = materialize(classes, "classes")
+    members = materialize(sketches.select("id", "h", "n", "d1", "d2"), "members")
     discard(sketches)
     rows = _blocks(classes.select(F.explode("keys").alias("key"), "rep", "n"), num, den)
     sketched = rows.join(classes.select("rep", "n", "m", "body"), "rep").select(*ROW, "body")
     short = "key long, bucket int, bi int, bj int, probe int, rep long, n long, m long"
-    hits = materialize(_dealt(sketched).mapInArrow(lambda it: _candidates(it, num, den), short), "hits")
-    bodies = (
-        src.join(hits.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        .mapInArrow(lambda it: _whole_sets(it, k), "rep long, body binary")
-    )
+    hits = materialize(_dealt(sketched).mapInArrow(lambda it: _candidates(it, num, den, sketch), short), "hits")
+    named = materialize(classes.select("rep", "d1", "d2", "id", "h", "m"), "names")
+    discard(classes)
+    wanted = hits.select("rep").distinct().join(named.select("rep", F.col("id").alias("i"), F.col("h").alias("g")), "rep")
+    texts = src.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("rep", "text")
+    bodies = texts.mapInArrow(lambda it: _whole_sets(it, k), "rep long, body binary").dropDuplicates(["rep"])
     whole = hits.join(bodies, "rep").select(*ROW, "body")
     found = materialize(_dealt(whole).mapInArrow(lambda it: _links(it, num, den), _LINK), "found")
     discard(hits)
     comps = components(found.where("b is not null"))
     n_links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    named = (
-        classes.select("d1", "d2", "rep", "m")
-        .join(n_links, "rep", "left")
-        .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("d1", "d2", "m", "w", F.coalesce("component", "rep").alias("component"))
-    )
-    out = feats.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    joined = (
+        named.join(n_links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("d1", "d2", "id", "m", "w", F.coalesce("component", "rep").alias("component"))
+    )
+    names = joined.groupBy("component").agg(F.min("id").alias("component_id"))
+    joined = materialize(joined.drop("id").join(names, "component"), "named")
+    for gone in (named, found, comps):
+        discard(gone)
+    out = members.join(joined, ["d1", "d2"], "left")
+    none = F.col("n") == 0
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "h",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.coalesce("w", F.lit(0)) + F.coalesce(F.col("m") - 1, F.lit(0))).cast("long").alias("n_links"),
+        "component",
+        F.when(none, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(none, F.lit(0)).otherwise(F.coalesce("w", F.lit(0)) + F.coalesce(F.col("m") - 1, F.lit(0))).cast("long").alias("n_links"),
     )
 
 
