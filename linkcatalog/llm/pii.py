@@ -23,15 +23,16 @@ ADDED = {
     "secret": r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{16,}+",
     "number": r"(?<![0-9A-Za-z+.-])[0-9]{2,4}[\x20-][0-9]{2,4}[\x20-][0-9]{3,4}(?![0-9A-Za-z-])",
 }
-#: score of a confirmed span, and words nearby that raise it
+#: score of a confirmed span, and words nearby that raise it, in English, German, French and Spanish
+_CALL = "phone|call|tel|fax|mobile|mobil|handy|rufen|anruf|portable|appel|llam|móvil|whatsapp|number|nummer|numéro|número"
 SCORES = {
-    "email": (0.9, "mail|contact|write"),
-    "ip": (0.8, "address|host|server"),
-    "card": (0.95, "card|visa|master|credit"),
-    "phone": (0.85, "phone|call|tel|fax|mobile"),
-    "iban": (0.95, "iban|bank|account"),
-    "secret": (0.8, "key|token|secret|password"),
-    "number": (0.4, "phone|call|tel|fax|mobile|ssn|social security"),
+    "email": (0.9, "mail|contact|write|kontakt|schreib|courriel|écri|correo|escrib"),
+    "ip": (0.8, "address|host|server|adresse|serveur|dirección|servidor"),
+    "card": (0.95, "card|visa|master|credit|karte|kredit|carte|tarjeta"),
+    "phone": (0.85, _CALL),
+    "iban": (0.95, "iban|bank|account|konto|compte|cuenta|banque|banco"),
+    "secret": (0.8, "key|token|secret|password|schlüssel|passwort|mot de passe|clé|clave|contraseña"),
+    "number": (0.4, _CALL + "|ssn|social security|sozialversicherung|sécurité sociale|seguridad social"),
 }
 MIN_SCORE, RAISE, CONTEXT = 0.5, 0.3, 40
 KINDS = [*BASE, *ADDED]
@@ -147,8 +148,8 @@ def _spans(kind: str, m, text):
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns _pii (array of kind, start, end, score; by start, then kind) and
-    _base (those of the base kinds, in the same form).
+    """(row, pii, base): the columns of ``docs`` as one struct, whatever their names; all spans (array of start,
+    kind, end, score; by start, then kind); and those of the base kinds, in the same form.
 
     Places count code points, end exclusive. Base kinds are the leftmost non-overlapping matches
     that pass their check (parts at most 255, Luhn, digit counts); a match that fails is dropped
@@ -156,13 +157,14 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     numbers; context words within CONTEXT characters before or after a match raise its score, and added
     spans need MIN_SCORE and must not overlap a base span. Null or empty text has no span.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select("*", *[_matches(k, text, p).alias(f"_m_{k}") for k, p in (BASE | ADDED).items()])
-    out = out.select("*", *[_spans(k, F.col(f"_m_{k}"), text).alias(f"_s_{k}") for k in KINDS])
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    out = docs.select(F.struct(*docs.columns).alias("row"))
+    out = out.select("row", *[_matches(k, text, p).alias(f"m_{k}") for k, p in (BASE | ADDED).items()])
+    out = out.select("row", *[_spans(k, F.col(f"m_{k}"), text).alias(f"s_{k}") for k in KINDS])
 
     def scored(kind: str):
         score, words = SCORES[kind]
-        good = F.filter(F.col(f"_s_{kind}"), lambda s: _confirmed(kind, s["x"]))
+        good = F.filter(F.col(f"s_{kind}"), lambda s: _confirmed(kind, s["x"]))
         return F.transform(
             good,
             lambda s: F.struct(
@@ -171,18 +173,16 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             ),
         )
 
-    out = out.select("*", F.array_sort(F.concat(*[scored(k) for k in BASE])).alias("_base"))
     added = F.filter(F.concat(*[scored(k) for k in ADDED]), lambda s: s["score"] >= MIN_SCORE)
+    out = out.select("row", F.array_sort(F.concat(*[scored(k) for k in BASE])).alias("base"), added.alias("added"))
     free = F.when(
-        F.size(F.col("_added")) > 0,
+        F.size(F.col("added")) > 0,
         F.filter(
-            F.col("_added"),
-            lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+            F.col("added"),
+            lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
         ),
-    ).otherwise(F.col("_added"))
-    out = out.select("*", added.alias("_added"))
-    out = out.withColumn("_pii", F.array_sort(F.concat("_base", free)))
-    return out.drop("_added", *[f"_{x}_{k}" for x in "ms" for k in KINDS])
+    ).otherwise(F.col("added"))
+    return out.select("row", F.array_sort(F.concat("base", free)).alias("pii"), "base")
 
 
 def _listed(spans):
@@ -198,10 +198,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     found = find_pii(docs, text_col)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     parts = F.aggregate(
-        F.col("_pii"),
+        F.col("pii"),
         start,
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -212,25 +212,28 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)),
     )
-    return found.withColumn(text_col, F.when(F.size("_pii") > 0, parts).otherwise(text)).select(*docs.columns)
+    clean = F.when(F.size("pii") > 0, parts).otherwise(text).alias(text_col)
+    return found.select(*[clean if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, n_email, n_ip, n_card, n_phone, base_sha256, spans).
+    """One row per input row: (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores).
 
-    Null or empty text: counts 0, the digest of the empty string, no spans. Null ids, ties and
-    repeated rows: each row stays by itself. Extra columns are ignored. Empty input gives no rows.
-    Only column functions are used.
+    scores: that of each span, in the order of ``spans``. Null or empty text: counts 0, the digest of
+    the empty string, no spans. Null ids, ties and repeated rows: each row stays by itself. Extra
+    columns are ignored. Empty input gives no rows. Only column functions are used.
     """
     found = find_pii(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
     def count(i: int):
-        return F.size(F.filter("_base", lambda s: s["kind"] == i)).cast("long")
+        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
+    scores = F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",")
     return found.select(
-        F.col("doc_id").alias(id_col), *counts, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_pii")).alias("spans")
-    )
+        F.col("row")["doc_id"].alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"),
+        scores.alias("scores"),
+    )
 
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
