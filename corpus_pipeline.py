@@ -15,13 +15,25 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicate documents the one with the smallest doc_id stays.
-
-    Rows with a null doc_id have no component to be named by and stay.
+    """Of each component of near-duplicate documents the one with the smallest doc_id stays (rows without an
+    id after those with one). Rows are told apart by id and text; of rows that agree in both one stays.
+    Documents without words link with nothing and stay.
     """
-    found = ngram_join.jaccard_classes(docs)
-    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = ngram_join.classify(docs, "doc_id", "text").where("component is not null")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    rows = materialize(found.groupBy("component", "id", "h").agg(F.count("*").alias("times")).withColumn("place", place), "kept")
+    best = rows.groupBy("component").agg(F.min("place").alias("best"))
+    rows = rows.join(best, "component").withColumn("stays", F.col("place") == F.col("best"))
+    lone = F.col("stays") & (F.col("times") == 1)
+    own = docs.alias("d")
+    h = F.xxhash64(F.col("d.text").cast("string"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.id")) & (h == F.col("k.h"))
+    out = own.join(rows.where(~lone).select("id", "h").alias("k"), same, "left_anti")
+    again = rows.where("stays and times > 1").select("id", "h").alias("k")
+    if not again.isEmpty():
+        more = own.join(again, same, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("d.doc_id").alias("id"), h.alias("h"))
+        out = out.union(more.dropDuplicates(["id", "h"]).select("row.*"))
+    return out.select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
