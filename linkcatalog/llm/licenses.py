@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import table
+from .license_rules import SIGNATURES
 
 #: The base phrases and their labels.
 BASE_PHRASES = (
@@ -86,50 +87,46 @@ _ALONE = (
     "gplv", "gpl2", "gpl3", "lgplv", "lgpl2", "lgpl3", "agplv", "agpl3", "mplv", "mpl2", "apachev2",
 )
 _ALONE_VERSIONED = ("gpl", "lgpl", "agpl", "gfdl", "mpl")
-#: Sentences of license texts and addresses: priority, label, keyword (part of each match), pattern.
-SIGNATURES = (
-    (95, "mit", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    (95, "boost", " hereby granted ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
-    (90, "bsd", " source and binary forms ", "redistribution and use in source and binary forms with or without modification are permitted"),
-    (95, "bsd-3", " endorse or promote ", "neither the names? of (?:[^ ]+ ){1,20}(?:may|can) be used to endorse or promote products"),
-    (95, "isc", " hereby granted ", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
-    (95, "zlib", " origin of this software ", "the origin of this software must not be misrepresented"),
-    (95, "unlicense", " unencumbered software ", "this is free and unencumbered software released into the public domain"),
-    (95, "wtfpl", " do what the fuck ", "you just do what the fuck you want to"),
-    (95, "gpl-3", " general public license ", "gnu general public license version 3 29 june 2007"),
-    (95, "gpl-2", " general public license ", "gnu general public license version 2 june 1991"),
-    (95, "mpl-2", " source code form ", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    (90, "cc0", " publicdomain ", "creativecommons org publicdomain zero 1 0"),
-    (90, "cc-by-nc-nd", " creativecommons ", "creativecommons org licenses by nc nd(?: [0-9] [0-9])?"),
-    (90, "cc-by-nc-sa", " creativecommons ", "creativecommons org licenses by nc sa(?: [0-9] [0-9])?"),
-    (90, "cc-by-nc", " creativecommons ", "creativecommons org licenses by nc(?: [0-9] [0-9])?"),
-    (90, "cc-by-sa", " creativecommons ", "creativecommons org licenses by sa(?: [0-9] [0-9])?"),
-    (90, "cc-by-nd", " creativecommons ", "creativecommons org licenses by nd(?: [0-9] [0-9])?"),
-    (90, "cc-by", " creativecommons ", "creativecommons org licenses by(?: [0-9] [0-9])?"),
-    (90, "apache-2", " apache ", "apache org licenses license 2 0"),
-    (90, "mit", " opensource ", "opensource org licenses mit"),
-    (90, "gpl-3", " gnu ", "gnu org licenses gpl 3 0"),
-    (90, "gpl-2", " gnu ", "gnu org licenses (?:old licenses )?gpl 2 0"),
-)
+
+
+def _needs_own_word(pattern: str) -> bool:
+    """Can the pattern match without the word license?"""
+    bare = pattern
+    while (shorter := re.sub(r"\(\?:[^()]*\)\?", "", bare)) != bare:
+        bare = shorter
+    return "|" in re.sub(r"\([^()]*\)|\[[^]]*\]", "", pattern) or not re.search("licen", bare)
+
+
+def _any_of(words: list[str]) -> str:
+    """One pattern for many literal texts, which branches letter by letter: a place that fits none of them
+    fails at its first letters."""
+    if "" in words:
+        return ""  # what is longer than a word that matches needn't be looked at
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    forms = [first + _any_of(rest) for first, rest in sorted(by.items())]
+    return forms[0] if len(forms) == 1 else f"(?:{'|'.join(forms)})"
 
 
 def _gate() -> str:
-    """What any rule needs somewhere in the text: a word of its template, or a name that the template takes without one."""
-    names = sorted({name for _, names, _ in FAMILIES for name in names})
-    alone = [name for name in names if name.startswith(_ALONE)]
-    return "|".join([
-        f"licen[cs]e|spdx| under (?:the )?(?:terms of the )?(?:{'|'.join(names)})| (?:{'|'.join(alone)})",
-        f" (?:{'|'.join(_ALONE_VERSIONED)}) (?:version )?(?:v ?)?[0-9]",
-        *sorted({keyword for _, _, keyword, _ in SIGNATURES}),
-    ])
+    """What any rule needs somewhere in the text: a word of its template, a name that the template takes
+    without one, or a signature's keyword."""
+    names = sorted({name.removesuffix("[a-z]*") for _, names, _ in FAMILIES for name in names})
+    alone = [f" {name}" for name in names if name.startswith(_ALONE)]
+    under = [f" under {more}{name}" for name in names for more in ("", "the ", "terms of the ", "the terms of the ")]
+    keywords = [keyword for _, _, keyword, pattern in SIGNATURES if _needs_own_word(pattern)]
+    versioned = [f" {name} {v}" for name in _ALONE_VERSIONED for v in ("version ", "v", *map(str, range(10)))]
+    return f"licen[cs]e|spdx|{_any_of(sorted({*alone, *under, *keywords, *versioned}))}"
 
 
 _GATE = _gate()
 
 
 def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, pattern), in order; a version makes a rule more specific."""
-    out = {}
+    """(priority, label, keyword, pattern), in order: the hand-written signatures, then the templates over
+    license names; a version makes a rule more specific."""
+    out = {(priority, label, keyword, f" (?:{pattern})(?= )"): None for priority, label, keyword, pattern in SIGNATURES}
     for label, names, versions in FAMILIES:
         longest = sorted(versions, key=len, reverse=True)
         v = f" (?:version )?(?:v ?)?(?:{'|'.join(longest)})"
@@ -147,22 +144,25 @@ def rules() -> list[tuple[int, str, str, str]]:
             general = re.sub("-[0-9.]+$", "", label) if versions else label
             for priority, form in forms:
                 out[priority, general, keyword, f" {form.format(n=name, v='')}(?= )"] = None
-    for priority, label, keyword, pattern in SIGNATURES:
-        out[priority, label, keyword, f" {pattern}(?= )"] = None
     return list(out)
 
 
 def _rule_array():
-    rows = ",".join(
-        "named_struct('p',{},'l','{}','k','{}','r','{}')".format(p, label, key, pattern.replace("'", "''"))
-        for p, label, key, pattern in rules()
-    )
-    return F.expr(f"array({rows})")
+    """The rules by keyword: array<struct<k, rules: array<struct<p, l, r>>>>."""
+    by: dict[str, list[str]] = {}
+    for p, label, key, pattern in rules():
+        by.setdefault(key, []).append("named_struct('p',{},'l','{}','r','{}')".format(p, label, pattern.replace("'", "''")))
+    return F.expr("array({})".format(",".join(f"named_struct('k','{k}','rules',array({','.join(x)}))" for k, x in by.items())))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalised(text):
-    """Lower-case words, each between single spaces; no word: one space."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """Words with A-Z lower-cased, each between single spaces; no word: one space."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    plain = F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(plain == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
 
 
@@ -175,9 +175,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text, A-Z lower-cased. Base: all places
     where a base phrase's words stand consecutively. Then the signature rules: texts without any
-    gate word skip them; a rule runs only where its keyword occurs; of the places found, those
-    that lie within an earlier or longer one, or share its place with less priority, are
-    suppressed; the labels of the rest join the base labels. score: the highest priority kept
+    gate word skip them; a rule runs only where its keyword occurs. Of two detections one of which
+    contains the other that of lower priority is suppressed, of equal priority the one within, of the same
+    place too the later label; the labels of the rest join the base labels. score: the highest priority kept
     over 100 (a base phrase counts 0.9); 0 without any.
 
     Null or empty text: no words, counts 0, first_word and last_word null, labels empty, score 0.
@@ -203,28 +203,36 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # places of a rule's matches: the gaps between them, laid end to end
     found = place.withColumn("rules", F.when(gated, _rule_array()))
     hits = F.expr(
-        """transform(filter(rules, r -> contains(z, r.k) and z rlike r.r), r -> named_struct(
+        """transform(filter(flatten(transform(filter(rules, g -> contains(z, g.k)), g -> g.rules)), r -> z rlike r.r), r -> named_struct(
              'p', r.p, 'l', r.l, 'gaps', split(z, r.r, -1), 'found', regexp_extract_all(z, r.r, 0)))"""
     )
     spans = F.expr(
-        """flatten(transform(hits, h -> transform(sequence(1, size(h.found)), i -> named_struct(
-             'p', h.p, 'l', h.l, 'n', length(h.found[i - 1]),
-             's', aggregate(slice(h.gaps, 1, i), 0, (a, g) -> a + length(g))
-                  + aggregate(slice(h.found, 1, i - 1), 0, (a, g) -> a + length(g))))))"""
+        """flatten(transform(hits, h -> aggregate(arrays_zip(slice(h.gaps, 1, size(h.found)), h.found),
+             named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,p:int,l:string>>)),
+             (a, q) -> named_struct('at', a.at + length(q['0']) + length(q['found']), 'out', concat(a.out, array(named_struct(
+               's', a.at + length(q['0']), 'e', a.at + length(q['0']) + length(q['found']), 'p', h.p, 'l', h.l)))),
+             a -> a.out)))"""
     )
     found = found.withColumn("hits", F.when(gated, hits)).drop("rules")
     found = found.withColumn("spans", F.when(F.col("hits").isNotNull(), spans)).drop("hits")
-    ordered = F.expr(
-        """array_sort(transform(spans, x -> named_struct('s', x.s, 'e', -(x.s + x.n), 'p', -x.p, 'l', x.l)))"""
-    )
+    # from left to right, longer ones first; ``open``: those that may still contain or lie around the next
+    ordered = F.expr("array_sort(transform(spans, x -> named_struct('s', x.s, 'e', -x.e, 'p', -x.p, 'l', x.l)))")
     kept = F.expr(
-        """aggregate(ordered, named_struct('e', 0, 'k', cast(array() as array<struct<p:int,l:string>>)),
-             (a, x) -> if(-x.e > a.e, named_struct('e', -x.e, 'k', concat(a.k, array(named_struct('p', -x.p, 'l', x.l)))), a),
-             a -> a.k)"""
+        """aggregate(ordered, named_struct('open', cast(array() as array<struct<e:int,p:int,l:string,stays:boolean>>),
+               'l', cast(array() as array<string>), 'p', 0),
+             (a, x) -> named_struct(
+               'open', concat(
+                 transform(filter(a.open, o -> o.e > x.s), o -> named_struct('e', o.e, 'p', o.p, 'l', o.l, 'stays', o.stays and not (o.e >= -x.e and o.p < -x.p))),
+                 if(exists(a.open, o -> o.e >= -x.e and o.p >= -x.p), cast(array() as array<struct<e:int,p:int,l:string,stays:boolean>>),
+                   array(named_struct('e', -x.e, 'p', -x.p, 'l', x.l, 'stays', true)))),
+               'l', array_union(a.l, transform(filter(a.open, o -> o.e <= x.s and o.stays), o -> o.l)),
+               'p', greatest(a.p, coalesce(array_max(transform(filter(a.open, o -> o.e <= x.s and o.stays), o -> o.p)), 0))),
+             a -> named_struct('l', array_union(a.l, transform(filter(a.open, o -> o.stays), o -> o.l)),
+               'p', greatest(a.p, coalesce(array_max(transform(filter(a.open, o -> o.stays), o -> o.p)), 0))))"""
     )
     found = found.withColumn("ordered", ordered).withColumn("kept", F.when(F.col("spans").isNotNull(), kept))
     own = F.coalesce(F.col("kept.l"), F.array().cast("array<string>"))
-    best = F.coalesce(F.array_max(F.col("kept.p")), F.lit(0)) / 100.0
+    best = F.coalesce(F.col("kept.p"), F.lit(0)) / 100.0
     return found.select(
         F.col("doc_id").alias(id_col),
         "n_words",
