@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from linkcatalog.llm import bpe, licenses, pii, quality_rules, token_counts
@@ -106,7 +108,59 @@ def test_quality_order_changes_no_verdict(docs):
     a = sorted(map(str, docs.select("doc_id", "text").mapInArrow(lambda it: quality_rules._apply(it, [r.__name__ for r in quality_rules.RULES]), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean").collect()))
     b = sorted(map(str, quality_rules.judge(docs).collect()))
     assert a == b
-    assert set(quality_rules.rule_order(["x " * 60, None])) == {r.__name__ for r in quality_rules.RULES}
+    assert set(quality_rules.sampled_order(docs, "doc_id", "text")) == {r.__name__ for r in quality_rules.RULES}
+
+
+def test_quality_rules_see_only_what_is_left(monkeypatch):
+    r = random.Random(4)
+    kinds = [lambda: "WORD" + r.choice("ABCDEFG"), lambda: str(r.randrange(10**6)), lambda: "plain" + r.choice("abcdefgh"), lambda: "#" + r.choice("abc") + "é"]
+    texts = [" ".join(r.choice(kinds[i % 4:i % 4 + 1])() + str(r.random())[3:5] * (i % 4 == 2) for _ in range(80 + i)) for i in range(40)] + [None, "", "few words"]
+    data, offs = quality_rules.utf8_parts(pa.array(texts, pa.string()))
+    whole = quality_rules.measure(data, offs)
+    rows = np.array([1, 2, 7, 20, 39, 41])
+    own, again = whole.only(rows), quality_rules.measure(*quality_rules.utf8_parts(pa.array([texts[i] for i in rows], pa.string())))
+    for name in own.__dict__:
+        assert np.array_equal(getattr(own, name), getattr(again, name)), name
+    seen = {}
+
+    def spy(rule):
+        def run(t):
+            seen.setdefault(rule.__name__, []).append((len(t.n_words), len(t.data)))
+            return rule(t)
+
+        run.__name__ = rule.__name__
+        return run
+
+    monkeypatch.setattr(quality_rules, "RULES", tuple(map(spy, quality_rules.RULES)))
+    order = ["shouting", "mostly_numbers", "too_many_symbols", "odd_word_length", "repeated_lines"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    kept = [k for out in quality_rules._apply([batch], order) for k in out.column("kept").to_pylist()]
+    left = [i for i in range(40) if not again_failed(texts[i])]
+    for name in order:
+        rule = getattr(quality_rules, name)
+        size = sum(len(texts[i].encode()) for i in left)
+        assert seen.get(name, [(0, 0)]) == [(len(left), size)]
+        bad = rule(quality_rules.measure(*quality_rules.utf8_parts(pa.array([texts[i] for i in left], pa.string()))))
+        left = [i for i, b in zip(left, bad) if not b]
+    assert 0 < len(left) < 30 and [i for i, k in enumerate(kept) if k] == left
+
+
+def again_failed(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    marked = {i + j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    return len(w) < 50 or 100 * len(marked) > 50 * len(w)
+
+
+def test_quality_rules_go_by_conditional_rejection_per_cost():
+    names = [r.__name__ for r in quality_rules.RULES]
+    rejects = np.zeros((100, 5), bool)
+    rejects[:50, 0] = rejects[:48, 1] = rejects[50:60, 2] = True  # 1 rejects nothing that 0 does not
+    cost = np.full((100, 5), 1e-6)
+    cost[:, 3] = 1e-3
+    order = quality_rules.rule_order(rejects, cost)
+    assert order[:2] == [names[0], names[2]] and order[-1] in (names[1], names[3], names[4])
+    assert len(quality_rules.rule_order(rejects[:0], cost[:0])) == 5
 
 
 FORMS = {
@@ -202,7 +256,7 @@ def sample(pattern):
             name = str(op)
             if name == "LITERAL":
                 out += chr(arg)
-            elif name == "NOT_LITERAL":
+            elif name in ("NOT_LITERAL", "ANY"):
                 out += "x"
             elif name == "IN":
                 out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
@@ -247,3 +301,43 @@ def test_license_notices_and_versions(spark):
     ]
     got = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")))
     assert [(t, got[i]["labels"]) for i, (t, _) in enumerate(rows)] == rows
+
+
+def brute_labels(t):
+    """Labels and best priority by the rules' definition, every pair of detections compared."""
+    plain = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", t.translate({c: c + 32 for c in range(65, 91)})).strip(" ")
+    z = f" {plain} " if plain else " "
+    found = [(m.start(), m.end(), p, label) for p, label, k, r in licenses.rules() if k in z for m in re.finditer(r, z)]
+
+    def beaten(x):
+        for y in found:
+            if y[0] <= x[0] and y[1] >= x[1] and (y[2] > x[2] or (y[2] == x[2] and ((y[:2] != x[:2]) or y[3] < x[3]))):
+                return True
+            if x[0] <= y[0] and x[1] >= y[1] and y[2] > x[2]:
+                return True
+        return False
+
+    left = [x for x in found if not beaten(x)]
+    base = [label for phrase, label in licenses.BASE_PHRASES if f" {phrase} " in z]
+    return sorted({x[3] for x in left} | set(base)), max([x[2] for x in left] + [90] * bool(base) + [0])
+
+
+def test_license_labels_equal_brute_force(spark):
+    r = random.Random(8)
+    own = [sample(x[3]) for x in licenses.rules()]
+    texts = [" ".join(r.choice(own) if r.random() < 0.6 else r.choice(["and", "the", "Ünder", "license", "version 2", "gnu"]) for _ in range(r.choice([1, 3, 8]))) for _ in range(300)]
+    texts += ["cc by nc nd 4.0 " * 3000, "THIS PROGRAM IS FREE SOFTWARE; YOU CAN REDISTRIBUTE IT AND/OR MODIFY IT under the terms of the GNU GPL, SPDX-License-Identifier: GPL-3.0-or-later",
+              "\u212aelvin M\u0130T license", "", "CC BY-NC", "under the MIT license all rights reserved"]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        labels, best = brute_labels(t)
+        assert (got[i]["labels"], round(100 * got[i]["score"])) == (",".join(labels), min(best, 100)), t[:300]
+
+
+def test_license_rules_are_hundreds_with_keywords():
+    from linkcatalog.llm.license_rules import SIGNATURES
+
+    assert len(SIGNATURES) > 200 and len(set(SIGNATURES)) == len(SIGNATURES)
+    for _, label, keyword, pattern in SIGNATURES:
+        for branch in re.split(r"\|(?![^()]*\))", pattern):
+            assert keyword in f" {sample(branch)} ", (label, keyword, branch)
