@@ -101,18 +101,18 @@ def _matrix(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", **sizes) -> tuple[DataFrame, Codebooks | None, int]:
-    """(index, codebooks, dim). The index holds every usable row: id, codes, norm of the decoded
-    vector, and the original vector. Codebooks are fitted on at most SAMPLE rows. The dimension is
+    """(index, codebooks, dim). The index holds every usable row: row (a number of its own), id, codes, norm of
+    the decoded vector, and the original vector. Codebooks are fitted on at most SAMPLE rows. The dimension is
     the most frequent one; rows of another take no part."""
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     found = src.where("v is not null and size(v) > 0 and id is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if found is None:
-        return src.select("id", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm"), "v").limit(0), None, 0
+        return src.select(F.lit(0).cast("long").alias("row"), "id", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm"), "v").limit(0), None, 0
     dim = found[0]
     sample = src.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     x, ok = _matrix(sample.column("v"), dim)
     if not ok.any():
-        return src.select("id", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm"), "v").limit(0), None, dim
+        return src.select(F.lit(0).cast("long").alias("row"), "id", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm"), "v").limit(0), None, dim
     books = fit(x[ok], **sizes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +129,12 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                 names=["id", "codes", "norm", "v"],
             )
 
-    index = materialize(src.mapInArrow(encode, "id long, codes binary, norm double, v array<double>"), "vector-index")
+    coded = src.mapInArrow(encode, "id long, codes binary, norm double, v array<double>")
+    index = materialize(coded.select(F.monotonically_increasing_id().alias("row"), "*"), "vector-index")
     return index, books, dim
 
 
-def _search_block(books, metric, q, q_ids, ids, codes, norm, x, k, best_s, best_i):
+def _search_block(books, metric, q, q_rows, rows_no, ids, codes, norm, x, k, best_s, best_i):
     """Improves the best ``k`` (scores, ids) of each query with one block of rows."""
     flat_words = books.words.reshape(-1, books.words.shape[2])
     n_words = books.words.shape[1]
@@ -153,45 +154,47 @@ def _search_block(books, metric, q, q_ids, ids, codes, norm, x, k, best_s, best_
             rows = near[row]
             exact = (x[rows] * part[row]).sum(1) if metric == "ip" else -((x[rows] - part[row]) ** 2).sum(1)
             own = ids[rows]
-            keep = own != q_ids[lo + row]
+            keep = rows_no[rows] != q_rows[lo + row]
             s = np.concatenate([best_s[lo + row], exact[keep]])
             i = np.concatenate([best_i[lo + row], own[keep]])
             order = np.lexsort((i, -s))[:k]
             best_s[lo + row], best_i[lo + row] = s[order], i[order]
 
 
-def search(
-    index: DataFrame, books: Codebooks | None, queries: DataFrame, dim: int, k: int = 20, metric: str = "ip",
-    id_col: str = "vec_id", vec_col: str = "embedding",
-) -> DataFrame:
+def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, dim: int, k: int = 20, metric: str = "ip") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, nearest first, ties
-    to the smaller id; the query's own row is no candidate. Scores are exact, in double precision:
-    inner product (``ip``) or minus the squared distance (``l2``).
+    to the smaller id. Scores are exact, in double precision: inner product (``ip``) or minus the squared
+    distance (``l2``).
+
+    ``queries``: id, v and row. row is that of the index where a query is one of its rows, which then is no
+    candidate of its own; null for other queries. Rows that repeat an id are queries and candidates
+    of their own.
 
     Queries go to all rows in passes of QUERY_BLOCK, a bounded broadcast each; a task keeps the
     best ``k`` of its rows, which meet by query. Null, zero, non-finite or odd-length vectors
-    take no part. Repeated rows count each. Fewer candidates than ``k``: all of them.
+    take no part. Fewer candidates than ``k``: all of them.
     """
     spark = index.sparkSession
-    schema = "query_id long, vec_id long, score double"
+    schema = "q long, query_id long, vec_id long, score double"
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    q_rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    q_rows = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.coalesce(F.col("row").cast("long"), F.lit(-1)).alias("row"))
     q_rows = q_rows.where("id is not null and v is not null").where(F.size("v") == dim)
     n_pass = max(1, -(-q_rows.count() * 5 // (4 * QUERY_BLOCK)))  # hashing fills passes unevenly
     out = None
     for turn in range(n_pass):
-        own = q_rows.where(F.pmod(F.xxhash64("id"), F.lit(n_pass)) == turn) if n_pass > 1 else q_rows
+        own = q_rows.where(F.pmod(F.xxhash64("id", "row"), F.lit(n_pass)) == turn) if n_pass > 1 else q_rows
         got = own.toArrow()
         q, ok = _matrix(got.column("v"), dim)
         q_ids = np.asarray(got.column("id"))[ok].astype(np.int64)
+        q_no = np.asarray(got.column("row"))[ok].astype(np.int64)
         q = q[ok]
         if not len(q):
             continue
-        held = spark.sparkContext.broadcast((books, q, q_ids))
+        held = spark.sparkContext.broadcast((books, q, q_ids, q_no))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            books, q, q_ids = held.value
+            books, q, q_ids, q_no = held.value
             best_s = [np.zeros(0) for _ in q_ids]
             best_i = [np.zeros(0, np.int64) for _ in q_ids]
             kept: list[pa.RecordBatch] = []
@@ -200,7 +203,7 @@ def search(
                 block = pa.Table.from_batches(kept)
                 x, _ = _matrix(block.column("v"), dim)
                 codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-                _search_block(books, metric, q, q_ids, np.asarray(block.column("id")), codes, np.asarray(block.column("norm")), x, k, best_s, best_i)
+                _search_block(books, metric, q, q_no, np.asarray(block.column("row")), np.asarray(block.column("id")), codes, np.asarray(block.column("norm")), x, k, best_s, best_i)
                 kept.clear()
 
             size = 0
@@ -217,13 +220,13 @@ def search(
                 n = [len(s) for s in best_s[lo : lo + 1024]]
                 if sum(n):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(q_ids[lo : lo + 1024], n)), pa.array(np.concatenate(best_i[lo : lo + 1024])), pa.array(np.concatenate(best_s[lo : lo + 1024]))],
-                        names=["query_id", "vec_id", "score"],
+                        [pa.array(np.repeat(np.arange(lo, lo + len(n)), n)), pa.array(np.repeat(q_ids[lo : lo + 1024], n)), pa.array(np.concatenate(best_i[lo : lo + 1024])), pa.array(np.concatenate(best_s[lo : lo + 1024]))],
+                        names=["q", "query_id", "vec_id", "score"],
                     )
 
         found = index.mapInArrow(run, schema)
         top = found.withColumn(
-            "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            "rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
         ).where(F.col("rank") <= k)
         top = materialize(top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest") if n_pass > 1 else top
         out = top if out is None else out.union(top)
@@ -233,8 +236,5 @@ def search(
 
 
 def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    index, books, dim = build_index(vectors)
-    return search(index, books, vectors.where("vec_id % 20 = 0"), dim)
-
-
+    index, books, dim = build_index(table(spark, sf_dir, "embeddings"))
+    return search(index, books, index.where("id % 20 = 0"), dim)
