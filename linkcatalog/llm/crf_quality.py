@@ -156,17 +156,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, ro
     return w
 
 
-def _features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """line_features of a list, a megabyte of text at a time."""
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    found, before = [], 0
-    for part in byte_chunks(batch, "text"):
-        f, length, doc = line_features(*utf8_parts(part.column(0)))
-        found.append((f, length, doc + before))
-        before += part.num_rows
-    if not found:
-        return line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*found))
+def _features_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(line features, line lengths) of each text."""
+    f, length, doc = line_features(*utf8_parts(column))
+    bounds = kernels.doc_bounds(doc, len(column))
+    return [(f[lo:hi], length[lo:hi]) for lo, hi in zip(bounds, bounds[1:])]
 
 
 def _bad_lines(guess: np.ndarray, bad_doc: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -180,13 +174,15 @@ def _bad_lines(guess: np.ndarray, bad_doc: np.ndarray, doc: np.ndarray) -> np.nd
     return line.astype(float)
 
 
-def fit(texts: list[str | None], quality: list[int], rounds: int = 120) -> Model:
-    """Lines of good documents are good. Which lines of bad documents are bad is first told by a
+def fit(lines: list[tuple[np.ndarray, np.ndarray]], quality: list[int], rounds: int = 120) -> Model:
+    """``lines``: features and lengths of each document's lines. Lines of good documents are good. Which lines of bad documents are bad is first told by a
     logistic fit of lines to their document's label, then by the field so learnt."""
-    f, length, doc = _features_of(texts)
+    n_docs = len(lines)
+    f = np.concatenate([np.zeros((0, N_FEATURES), np.float32), *(x for x, _ in lines)])
+    length = np.concatenate([np.zeros(0), *(x for _, x in lines)])
+    doc = np.repeat(np.arange(n_docs), [len(x) for _, x in lines])
     x = with_neighbours(f, doc).astype(float)
     y_doc = np.array(quality, float)
-    n_docs = len(texts)
     if not len(f) or y_doc.min(initial=1) == y_doc.max(initial=0):
         only = float(y_doc.mean()) if n_docs else 1.0
         return Model(np.zeros(3 * N_FEATURES), np.zeros((2, 2)), np.array([4.0 if only >= 0.5 else -4.0, 0.0]))
@@ -227,7 +223,8 @@ def bad_share(p: np.ndarray, length: np.ndarray, doc: np.ndarray, n_docs: int) -
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most MAX_TRAIN labelled rows that aren't held out. Null labels or ids are left out."""
+    """Fits on at most MAX_TRAIN labelled rows that aren't held out. Null labels or ids are left out; of documents
+    that repeat an id one counts. Lines are measured in the tasks: the driver gets their features, no texts."""
     rows = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
         .where("id is not null and quality is not null")
@@ -237,10 +234,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(MAX_TRAIN)
     )
     few = {r["id"]: r["quality"] for r in rows.collect()}
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_chunks(batch, "text"):
+                got = _features_of(part.column(2))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([f.tobytes() for f, _ in got], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in got], pa.binary())],
+                    names=["id", "h", "f", "n"],
+                )
+
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), text.alias("text"))
     picked = own.sparkSession.createDataFrame([(k,) for k in few], "id long")
-    got = own.join(F.broadcast(picked), "id", "left_semi").dropDuplicates(["id"]).orderBy("id").collect()
-    return fit([r["text"] for r in got], [few[r["id"]] for r in got])
+    lines = own.join(F.broadcast(picked), "id", "left_semi").mapInArrow(features, "id long, h long, f binary, n binary")
+    # rows that repeat an id: the one whose text hashes lowest, whichever comes first
+    got = lines.groupBy("id").agg(F.min_by(F.struct("f", "n"), "h").alias("x")).orderBy("id").collect()
+    parts = [(np.frombuffer(r["x"]["f"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["x"]["n"], np.float32).astype(float)) for r in got]
+    return fit(parts, [few[r["id"]] for r in got])
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
