@@ -187,7 +187,7 @@ def test_ann_recall_and_exact_scores(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     index, books, dim = additive_ann.build_index(df, n_books=8)
     assert index.count() == 3001 and dim == 24
-    got = additive_ann.search(index, books, df.where("vec_id % 20 = 0"), dim, k=10).collect()
+    got = additive_ann.search(index, books, index.where("id % 20 = 0"), dim, k=10).collect()
     by = defaultdict(list)
     for g in sorted(got, key=lambda g: g["rank"]):
         by[g["query_id"]].append((g["vec_id"], g["score"]))
@@ -200,22 +200,34 @@ def test_ann_recall_and_exact_scores(spark):
         hit += len({i for _, i in want} & {v for v, _ in by[q]})
         total += 10
         for v, score in by[q]:
-            assert v != q and (abs(score - s[v]) < 1e-9 or v == 2000)
+            assert (v != q) and (abs(score - s[v]) < 1e-9 or v == 2000)
     assert hit / total >= 0.9
     assert not {9000, 9020, 9040, 9060} & set(by)
-    assert additive_ann.search(*additive_ann.build_index(df.limit(0))[:2], df.limit(0), 0).count() == 0
+    assert additive_ann.search(*additive_ann.build_index(df.limit(0))[:2], index.limit(0), 0).count() == 0
 
 
 def test_ann_few_rows_ties_and_l2(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     index, books, dim = additive_ann.build_index(df)
-    got = [(g["rank"], g["vec_id"], g["score"]) for g in additive_ann.search(index, books, df.where("vec_id = 0"), dim).collect()]
+    got = [(g["rank"], g["vec_id"], g["score"]) for g in additive_ann.search(index, books, index.where("id = 0"), dim).collect()]
     assert sorted(got) == [(i + 1, i + 1, 1.0) for i in range(7)]
-    near = additive_ann.search(index, books, df.where("vec_id = 4"), dim, k=2, metric="l2").collect()
+    near = additive_ann.search(index, books, index.where("id = 4"), dim, k=2, metric="l2").collect()
     assert [(g["vec_id"], g["score"]) for g in sorted(near, key=lambda g: g["rank"])] == [(1, 0.0), (7, 0.0)]
 
 
+def test_ann_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (3, [5.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    index, books, dim = additive_ann.build_index(df)
+    got = additive_ann.search(index, books, index.where("id % 20 = 0"), dim, k=3).collect()
+    assert {g["query_id"] for g in got} == {0} and len(got) == 9  # three queries, each with its own three nearest
+    want = [[(3, 5.0), (0, 1.0), (0, 0.0)]] * 2 + [[(4, 2.0), (0, 0.0), (0, 0.0)]]
+    rows = sorted((g["rank"], g["vec_id"], g["score"]) for g in got)
+    assert rows == sorted((i + 1, *x) for one in want for i, x in enumerate(one))
+    foreign = spark.createDataFrame([(7, [1.0, 0.0], None)], "id long, v array<double>, row long")
+    assert [g["vec_id"] for g in additive_ann.search(index, books, foreign, dim, k=3).collect()] == [3, 0, 0]
+
+
 @pytest.fixture(scope="module")
 def sources(spark):
     r = random.Random(2)
@@ -443,6 +455,15 @@ def test_crf_odd_rows(spark):
     rows = crf_quality.score_quality(docs, model).collect()
     assert len(rows) == 6 and all(0 <= r["score"] <= 1 for r in rows)
     assert crf_quality.score_quality(docs.limit(0), model).count() == 0
+    more = docs.selectExpr("*", "1 AS id", "2 AS h", "3 AS held_out", "'x' AS n")
+    assert sorted(map(str, crf_quality.score_quality(more, model).collect())) == sorted(map(str, rows))
+
+
+def test_crf_training_takes_the_same_text_of_a_repeated_id(spark):
+    texts = [(i % 30, ("good plain words on a line\n" if i % 2 else "### $$$ BUY NOW\n") * (3 + i % 7)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    models = [crf_quality.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (texts, texts[::-1])]
+    assert np.allclose(models[0].weights, models[1].weights) and np.allclose(models[0].curve, models[1].curve)
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))

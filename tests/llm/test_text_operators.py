@@ -79,6 +79,18 @@ def test_token_counts_equal_library(docs, library):
         assert tuple(got[i])[1:] == (len(x.encode()), n, n > 20), x
 
 
+def test_token_counts_of_long_runs(spark, library):
+    r = random.Random(6)
+    runs = ["".join(r.choice("ab1290é-中") for _ in range(30_000)), "7" * 20_000, "word" * 5_000, "a1" * 9_000 + "'s" * 4_000, "<|endoftext|>3" * 900]
+    for x in runs:
+        own = token_counts.cut_long([x])
+        assert "".join(own) == x
+        assert sum(len(library.encode(p, add_special_tokens=False)) for p in own) == len(library.encode(x, add_special_tokens=False))
+    assert len(token_counts.cut_long([runs[0]])) > 4 and len(token_counts.cut_long([runs[2]])) == 1
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")).collect()
+    assert {g["doc_id"]: g["n_tokens"] for g in got} == {i: len(library.encode(x, add_special_tokens=False)) for i, x in enumerate(runs)}
+
+
 def brute_quality(t):
     w = WORDS.findall(t)
     tri = Counter(zip(w, w[1:], w[2:]))
