@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,18 +43,17 @@ def _tags(text: str) -> list[dict]:
     return [{"kind": k, "name": n} for k, n in T.extract_tags(text)]
 
 
-def _outcome(name: str, items: list[dict], links: list[L.Link], is_catalog: bool = False) -> dict:
-    used = {(x.provider, x.share_id) for i in items for x in i["links"]}
-    plain = [i | {"links": [asdict(x) for x in i["links"]]} for i in items]
-    left = [asdict(x) for x in links if (x.provider, x.share_id) not in used]
-    return {"is_catalog": is_catalog, "items": plain, "unattributed": left, "extractor": name, "version": EXTRACTOR_VERSION[name]}
+def _outcome(name: str, items: list[dict], links: list[dict], is_catalog: bool = False) -> dict:
+    used = {(x["provider"], x["share_id"]) for i in items for x in i["links"]}
+    left = [x for x in links if (x["provider"], x["share_id"]) not in used]
+    return {"is_catalog": is_catalog, "items": items, "unattributed": left, "extractor": name, "version": EXTRACTOR_VERSION[name]}
 
 
-def rule_extract(text: str) -> dict:
+def rule_extract(text: str, links: list[dict]) -> dict:
     """Segments to items. A line that names shared links gives all links to every item; without it
     segments with a catalogue's title, or of five segments and more with one link at most, are no
     items, and a document of such alone is a catalogue."""
-    segments, links = L.segment_text(text), L.scan_links(text)
+    segments = L.segment_text(text, links)
     shared = SHARED_LINKS.search(text) is not None and bool(links)
     many = len(segments) >= 5 and len(links) <= 1
     items, catalog = [], False
@@ -84,9 +82,8 @@ def find_title(fields: dict[str, str]) -> str | None:
     return next(iter(named or free), None)
 
 
-def sheet_extract(text: str) -> dict:
+def sheet_extract(text: str, links: list[dict], fields: dict[str, str]) -> dict:
     """One row of a sheet to one item with all its links."""
-    fields, links = L.parse_fields(text), L.scan_links(text)
     raw = find_title(fields)
     title = T.clean_title(raw) if raw else ""
     if raw and T.looks_like_catalog(raw):
@@ -102,10 +99,9 @@ def sheet_extract(text: str) -> dict:
     return _outcome("sheet", [item], links)
 
 
-def payload_extract(payload: str, text: str) -> dict:
+def payload_extract(payload: str, text: str, links: list[dict]) -> dict:
     """A model's stored answer: links by index, each once, out-of-range ones dropped; untitled items
     dropped; tags only where one item is all."""
-    links = L.scan_links(text)
     try:
         data = json.loads(payload)
     except ValueError:
@@ -142,12 +138,25 @@ QUALITIES = ("4k", "1080p", "720p", "sd", "unknown")
 SHEET_SOURCES = ("tencent_docs", "kdocs")
 
 
-def extract(docs: DataFrame, text: str = "text", source_type: str | None = None) -> DataFrame:
-    """``docs`` with ``outcome``: sheet rows for sheet sources, rules for all others. One Arrow pass;
-    null text gives a null outcome."""
-    kind = F.col(source_type).isin(*SHEET_SOURCES) if source_type else F.lit(False)
-    run = F.udf(lambda x, sheet: None if x is None else (sheet_extract if sheet else rule_extract)(x), OUTCOME, useArrow=True)
-    return docs.withColumn("outcome", run(F.col(text), kind))
+def extract(docs: DataFrame, text: str = "text", source_type: str | None = None, payload: str | None = None) -> DataFrame:
+    """``docs`` with ``outcome``: the stored answer where ``payload`` has one, sheet rows for sheet sources, rules
+    for all others. Links and fields come from column functions; one Arrow pass does the rest. Null text gives a
+    null outcome."""
+    kind = F.when(F.col(source_type).isin(*SHEET_SOURCES), F.lit("sheet")).otherwise(F.lit("rule")) if source_type else F.lit("rule")
+    answer = F.col(payload) if payload else F.lit(None).cast("string")
+    kind = F.when(answer.isNotNull(), F.lit("payload")).otherwise(kind)
+
+    def run(x, links, kind, answer, fields):
+        if x is None:
+            return None
+        links = L.as_dicts(links)
+        if kind == "payload":
+            return payload_extract(answer, x, links)
+        return sheet_extract(x, links, {p["k"]: p["v"] for p in fields}) if kind == "sheet" else rule_extract(x, links)
+
+    own = F.col(text)
+    fields = F.when(kind == "sheet", L.field_lines(own))  # no nested lambdas: Python functions take none in their arguments
+    return docs.withColumn("outcome", F.udf(run, OUTCOME, useArrow=True)(own, L.scan_links(own), kind, answer, fields))
 
 
 def items(extracted: DataFrame, *keys: str) -> DataFrame:
@@ -208,3 +217,26 @@ def classify_probe(provider: Column, body: Column, http_code: Column) -> Column:
         .when(provider.isin("quark", "uc"), quark).when(provider == "alipan", alipan)
         .when(provider == "ctfile", ctfile).when(provider == "pan123", pan123).otherwise("unsupported")
     )
+
+
+def probe_details(provider: Column, body: Column, http_code: Column) -> Column:
+    """struct<status, title, sharer, size_bytes>: the state of :func:`classify_probe` with what the answer
+    tells of a share that is there."""
+    get = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(body, p), F.lit("")) for p in paths])
+    status = classify_probe(provider, body, http_code)
+    there = lambda x: F.when(status == "valid", x)
+    title = (
+        F.when(provider.isin("quark", "uc"), get("$.data.title")).when(provider == "alipan", get("$.share_name", "$.share_title"))
+        .when(provider == "ctfile", get("$.file.file_name")).when(provider == "pan123", get("$.data.ShareName"))
+    )
+    sharer = (
+        F.when(provider.isin("quark", "uc"), get("$.data.author.nick_name")).when(provider == "alipan", get("$.creator_name"))
+        .when(provider == "ctfile", get("$.file.username")).when(provider == "pan123", get("$.data.UserNickName"))
+    )
+    size = F.when(provider == "ctfile", get("$.file.file_size"))
+    number, unit = F.regexp_extract(size, r"(?i)^([0-9.]+)\s*([KMGT]?)", 1), F.upper(F.regexp_extract(size, r"(?i)^([0-9.]+)\s*([KMGT]?)", 2))
+    times = F.pow(F.lit(1024.0), F.when(unit == "", F.lit(0)).otherwise(F.instr(F.lit("KMGT"), unit)))
+    return F.struct(
+        status.alias("status"), there(title).alias("title"), there(sharer).alias("sharer"),
+        there(F.when(number != "", (number.cast("double") * times).cast("long"))).alias("size_bytes"),
+    )

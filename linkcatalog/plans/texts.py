@@ -107,7 +107,7 @@ def catalog_detect(c: Catalog) -> DataFrame:
     UNION ALL SELECT doc_id, 'alipan', substr(md5(text), 13, 11), NULL FROM documents""",
 )
 def scan_links(c: Catalog) -> DataFrame:
-    found = _posts(c).select("doc_id", F.explode(links.call("scan_links", F.col("post"))).alias("x"))
+    found = _posts(c).select("doc_id", F.explode(links.scan_links(F.col("post"))).alias("x"))
     return found.select("doc_id", "x.provider", "x.share_id", "x.passcode")
 
 
@@ -118,7 +118,7 @@ def scan_links(c: Catalog) -> DataFrame:
       CASE doc_id % 5 WHEN 0 THEN ' 4K' WHEN 1 THEN ' 1080p' WHEN 2 THEN ' 720p' WHEN 3 THEN ' 480p' ELSE '' END, 'quark' FROM documents""",
 )
 def segment(c: Catalog) -> DataFrame:
-    s = _posts(c).select("doc_id", F.posexplode(links.call("segment_text", F.col("post"))).alias("place", "s"))
+    s = _posts(c).select("doc_id", F.posexplode(links.segments(F.col("post"))).alias("place", "s"))
     return s.select("doc_id", "place", F.col("s.title_raw").alias("title"), F.array_join("s.links.provider", ",").alias("providers"))
 
 
@@ -131,7 +131,7 @@ def rule_items(c: Catalog) -> DataFrame:
 @query("sheet_fields", "SELECT p_partkey AS row_id, p_name AS title, p_brand AS brand, p_size AS size FROM part")
 def sheet_fields(c: Catalog) -> DataFrame:
     row = F.concat_ws("\n", F.concat(F.lit("片名："), "p_name"), F.concat(F.lit("品牌: "), "p_brand"), F.concat(F.lit(" 数量 ：  "), F.col("p_size").cast("string")))
-    got = c.raw("part").select(F.col("p_partkey").alias("row_id"), links.call("parse_fields", row).alias("f"))
+    got = c.raw("part").select(F.col("p_partkey").alias("row_id"), links.parse_fields(row).alias("f"))
     return got.select("row_id", F.col("f")["片名"].alias("title"), F.col("f")["品牌"].alias("brand"), F.col("f")["数量"].cast("int").alias("size"))
 
 

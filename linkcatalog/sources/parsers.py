@@ -191,30 +191,150 @@ def decode_sheet(packed: str) -> object:
         return None
 
 
-#: Parts of a cell that describe it.
-_META = ("type", "id", "style", "color", "format")
+# Keys of a sheet's cells: the address of a link, and what describes the cell.
+CELL_LINK, CELL_META = "k3", ("k30", "k31", "k32")
+#: The same of the records of a database.
+RECORD_LINKS, RECORD_META = ("href", "url", "link"), ("type", "id", "style", "color", "format")
 
 
-def cell_text(cell: object) -> str:
-    """Strings and numbers of a cell, depth first; a link gives its address alone."""
+def _leaves(cell: object, links: tuple[str, ...], skip: tuple[str, ...]) -> str:
     if isinstance(cell, bool) or cell is None:
         return ""
     if isinstance(cell, (str, int, float)):
         return str(cell).strip()
     if isinstance(cell, dict):
-        for k in ("href", "url", "link"):
-            if isinstance(cell.get(k), str) and cell[k]:
+        for k in links:
+            if isinstance(cell.get(k), str) and re.match(r"(?i)https?://|magnet:", cell[k]):
                 return cell[k].strip()
-        cell = [v for k, v in cell.items() if k not in _META]
-    return " ".join(x for x in map(cell_text, cell) if x)
+        cell = [v for k, v in cell.items() if k not in skip]
+    return " ".join(x for x in (_leaves(c, links, skip) for c in cell) if x)
+
+
+def cell_text(cell: object) -> str:
+    """Strings and numbers of a sheet's cell, depth first; a link gives its address alone, not its label."""
+    return _leaves(cell, (CELL_LINK,), CELL_META)
+
 
+def record_text(cell: object) -> str:
+    """The same of a database's cell."""
+    return _leaves(cell, RECORD_LINKS, RECORD_META)
 
-def render_row(row: dict[str, object], labels: dict[str, str] | None = None) -> str:
+
+def render_row(row: dict[str, object], labels: dict[str, str] | None = None, read=cell_text) -> str:
     """``label：value`` lines of the cells with text; attachments are left out."""
-    pairs = ((labels.get(k, k) if labels else k, cell_text(v)) for k, v in row.items() if not (isinstance(v, dict) and v.get("type") == "attachment"))
+    pairs = ((labels.get(k, k) if labels else k, read(v)) for k, v in row.items() if not (isinstance(v, dict) and v.get("type") == "attachment"))
     return "\n".join(f"{k}：{v}" for k, v in pairs if v)
 
 
+def _find(tree: object, key: str) -> object:
+    """The first value of a key, depth first."""
+    left = [tree]
+    while left:
+        node = left.pop(0)
+        if isinstance(node, dict):
+            if key in node:
+                return node[key]
+            left = [*node.values(), *left]
+        elif isinstance(node, list):
+            left = [*node, *left]
+    return None
+
+
+def sheet_page(payload: str) -> dict | None:
+    """A sheet's page: its sheets' ids, version, rows in all, and the rows that it holds as text.
+
+    The operations are packed (:func:`decode_sheet`); that of the columns gives labels by id, those
+    of the rows cells by column; the permission blob lists the sheets.
+    """
+    try:
+        data = json.loads(payload)
+        ops = decode_sheet(_find(data, "smartsheet"))
+        page = json.loads(json.loads(_find(data, "smartsheetConfig"))["pageCtx"])
+        allowed = json.loads(base64.b64decode(_find(data, "smartsheetPermission") or "W10="))
+    except (ValueError, KeyError, TypeError):
+        return None
+    labels: dict[str, str] = {}
+    rows: dict[str, dict] = {}
+    left = [ops]
+    while left:
+        node = left.pop(0)
+        if isinstance(node, list):
+            left = [*node, *left]
+        elif isinstance(node, dict):
+            for v in node.values():
+                if isinstance(v, dict) and v and all(isinstance(x, dict) and isinstance(x.get("k30"), str) and set(x) <= set(CELL_META) for x in v.values()):
+                    labels |= {k: x["k30"] for k, x in v.items()}
+            inner = node.get("k2")
+            if isinstance(inner, dict) and isinstance(inner.get("k1"), dict):
+                rows |= {k: v["k1"] for k, v in inner["k1"].items() if isinstance(v, dict) and isinstance(v.get("k1"), dict)}
+            left = [*node.values(), *left]
+    texts = [(k, render_row(r, labels)) for k, r in rows.items()]
+    sheets = [i["sheet_id"] for p in allowed for i in p.get("priv", {}).get("items", [])]
+    return {
+        "sheet_ids": sheets, "sheet_id": page.get("sheet_id"), "version": page.get("ver"), "total_rows": page.get("total_row"),
+        "rows": [{"row_id": k, "text": t} for k, t in texts if t],
+    }
+
+
+SHEET_PAGE = "struct<sheet_ids:array<string>,sheet_id:string,version:bigint,total_rows:bigint,rows:array<struct<row_id:string,text:string>>>"
+
+
+def database_page(payload: str) -> list[dict]:
+    """Records of a database's page as (row_id, text)."""
+    try:
+        rows = json.loads(payload)["records"]
+        texts = [(str(r["id"]), render_row(r.get("fields") or {}, read=record_text)) for r in rows]
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return []
+    return [{"row_id": k, "text": t} for k, t in texts if t]
+
+
+def reader_json(body: str) -> dict | None:
+    """The JSON object of a reader's answer, behind its prefix, if it has an object under ``data``."""
+    try:
+        data = json.loads(body.split("Markdown Content:", 1)[-1])
+    except ValueError:
+        return None
+    return data if isinstance(data, dict) and isinstance(data.get("data"), (dict, list)) else None
+
+
+def discussion_ids(body: str) -> list[int]:
+    """Ids of the discussions that an index page lists, each once, in its order."""
+    data = (reader_json(body) or {}).get("data")
+    ids = [int(x["id"]) for x in data if isinstance(x, dict) and str(x.get("id", "")).isdigit()] if isinstance(data, list) else []
+    return list(dict.fromkeys(ids))
+
+
+def discussion(body: str) -> dict | None:
+    """One discussion as (message_id, text): its title and its first post."""
+    whole = reader_json(body)
+    data = whole and whole["data"]
+    if not isinstance(data, dict) or "id" not in data:
+        return None
+    about = data.get("attributes") or {}
+    posts = [x for x in whole.get("included") or [] if isinstance(x, dict) and x.get("type") == "posts"]
+    first = min(posts, key=lambda x: (x.get("attributes") or {}).get("number") or 0, default={})
+    text = "\n".join(x for x in (about.get("title"), page((first.get("attributes") or {}).get("contentHtml") or "")["text"]) if x)
+    return _message(data["id"], text, about.get("createdAt"))
+
+
+def comments(body: str) -> list[dict]:
+    """Comments of a page, with the comments under them, as messages."""
+    try:
+        found = json.loads(body)["data"]
+    except (ValueError, KeyError, TypeError):
+        return []
+    out, left = [], list(found) if isinstance(found, list) else []
+    while left:
+        c = left.pop(0)
+        if not isinstance(c, dict):
+            continue
+        if c.get("id") is not None and c.get("content"):
+            out.append(_message(c["id"], str(c["content"]), c.get("date")))
+        left = [*(c.get("children") or []), *left]
+    return out
+
+
 def text_blocks(text: str, most: int = 4000) -> list[str]:
     """Paragraphs, long ones cut at line ends."""
     out = []
@@ -283,26 +403,36 @@ def torrent_magnet(body: bytes) -> str | None:
     return None
 
 
-def collection_text(text: str) -> str | None:
-    """A post of several titles as named blocks: each title with the links up to the next, or, if
-    fewer than two have links of their own, all links in a shared block; null for fewer than two."""
+def _collection(text: str, links: list) -> str | None:
     from linkcatalog.functions import links as L
     from linkcatalog.functions import titles as T
 
     blocks: list[tuple[str, list[str]]] = []
+    at = 0
     for line in text.split("\n"):
-        found = [x.url for x in L.scan_links(line)]
+        own = {(x["provider"], x["share_id"]): x["url"] for x in reversed(links) if at <= x["start"] < at + len(line)}
         m = L.NUMBERED.match(line) or L.HEADING.match(line)
-        if m and not found:
+        if m and not own:
             blocks.append((T.strip_title_marker(m[1].strip()), []))
         elif blocks:
-            blocks[-1][1].extend(found)
+            blocks[-1][1].extend(reversed(own.values()))
+        at += len(line) + 1
     if len(blocks) < 2:
         return None
     if sum(bool(u) for _, u in blocks) >= 2:
         return "\n".join("\n".join((f"名称：{t}", *u)) for t, u in blocks)
-    every = [x.url for x in L.scan_links(text)]
-    return "\n".join([*(f"名称：{t}" for t, _ in blocks), "合集资源：", *every])
+    every = dict.fromkeys((x["provider"], x["share_id"]) for x in links)
+    first = {(x["provider"], x["share_id"]): x["url"] for x in reversed(links)}
+    return "\n".join([*(f"名称：{t}" for t, _ in blocks), "合集资源：", *(first[k] for k in every)])
+
+
+def collection_text(text: Column) -> Column:
+    """A post of several titles as named blocks: each title with the links up to the next, or, if
+    fewer than two have links of their own, all links in a shared block; null for fewer than two."""
+    from linkcatalog.functions import links as L
+
+    run = F.udf(lambda x, found: None if x is None else _collection(x, L.as_dicts(found)), "string", useArrow=True)
+    return run(text, L.scan_links(text, once=False))
 
 
 #: Source types with the forms of their addresses, in the order in which they are asked.
@@ -336,7 +466,11 @@ BY_NAME = {
     "text_blocks": (text_blocks, "array<string>"),
     "snapshot_text": (snapshot_text, "string"),
     "torrent_magnet": (torrent_magnet, "string"),
-    "collection_text": (collection_text, "string"),
+    "sheet_page": (sheet_page, SHEET_PAGE),
+    "database_page": (database_page, "array<struct<row_id:string,text:string>>"),
+    "discussion_ids": (discussion_ids, "array<bigint>"),
+    "discussion": (discussion, MESSAGE.removeprefix("array<").removesuffix(">")),
+    "comments": (comments, MESSAGE),
     "canonical_url": (canonical_url, "string"),
 }
 

@@ -32,25 +32,11 @@ def test_payloads():
     packed = base64.urlsafe_b64encode(zlib.compress(json.dumps({"a": 1}).encode())).decode().rstrip("=")
     assert parsers.decode_sheet(packed) == {"a": 1}
     assert parsers.decode_sheet("!") is None
-    assert parsers.render_row({"k1": [{"text": "剧"}], "k2": {"href": "http://x", "text": "y"}, "k3": None}, {"k1": "名称"}) == "名称：剧\nk2：http://x"
+    assert parsers.render_row({"a": {"k1": {"k1": "剧"}, "k30": "x"}, "b": {"k8": [{"k2": "y", "k3": "http://x"}]}, "c": None, "d": {"k8": [{"k2": "z", "k3": "no link"}]}}, {"a": "名称"}) == "名称：剧\nb：http://x\nd：z no link"
     info = b"d6:lengthi3e4:name1:ae"
     assert parsers.torrent_magnet(b"d8:announce1:x4:info" + info + b"e") == "magnet:?xt=urn:btih:" + hashlib.sha1(info).hexdigest()
     assert parsers.torrent_magnet(b"junk") is None
     assert parsers.text_blocks("a\n\nb\nc", 2) == ["a", "b", "c"]
-    assert parsers.collection_text("1. 甲\nhttps://pan.quark.cn/s/a\n2. 乙\nhttps://pan.quark.cn/s/b").startswith("名称：甲")
-    assert parsers.collection_text("甲") is None
-
-
-def test_extractors():
-    out = extract.rule_extract("名称：大主宰 (2023) 4K\nhttps://pan.quark.cn/s/a1\n名称：夸克\nhttps://pan.quark.cn/s/b2")
-    assert [(i["title"], i["year"], i["quality"], len(i["links"])) for i in out["items"]] == [("大主宰", 2023, "4k", 1)]
-    assert [x["share_id"] for x in out["unattributed"]] == ["b2"]
-    assert extract.rule_extract("5月3日片单\nhttps://pan.quark.cn/s/a1")["is_catalog"]
-    row = extract.sheet_extract("文本 1：大主宰\n夸克：https://pan.quark.cn/s/a1\n年份：2023")
-    assert [(i["title"], i["year"]) for i in row["items"]] == [("大主宰", 2023)]
-    got = extract.payload_extract('{"items": [{"title": "甲剧", "link_indexes": [0, 0, 9]}, {"title": ""}]}', "https://pan.quark.cn/s/a1")
-    assert [(i["title"], len(i["links"])) for i in got["items"]] == [("甲剧", 1)]
-    assert extract.payload_extract("nonsense", "")["items"] == []
 
 
 def test_probes(spark):
