@@ -102,14 +102,26 @@ def requeue_checkable(resources: DataFrame, checkable: tuple[str, ...]) -> DataF
     return resources.withColumn("requeued", now).withColumn("check_status", F.when(now, "unchecked").otherwise(F.col("check_status")))
 
 
-def interval_factors(checks: DataFrame, group: str, order: list[str]) -> DataFrame:
+def interval_factors(checks: DataFrame, group: str, order: list[str], bucket: Column) -> DataFrame:
     """The factor of each group's check interval after its history: times 1.5 when limited, times
-    0.99 when not, within 1 to 16. An ordered fold: histories are short lists of one state each."""
-    listed = checks.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, (F.col("status") == "error").alias("limited")))).alias("h"))
-    fold = F.aggregate(
-        "h", F.lit(1.0), lambda a, x: F.greatest(F.lit(1.0), F.least(F.lit(16.0), F.when(x["limited"], a * 1.5).otherwise(a * 0.99)))
-    )
-    return listed.select(group, fold.alias("factor"))
+    0.99 when not, within 1 to 16, in order.
+
+    A step scales and clamps; steps in a row again scale and clamp (by one factor, between two bounds).
+    So each ``bucket`` of a history, which does not fall along the order, is folded to one such step, and these
+    are folded in turn: no history is gathered whole.
+    """
+    times = lambda x: F.when(x["limited"], F.lit(1.5)).otherwise(F.lit(0.99))
+    within = lambda x, lo, hi: F.least(hi, F.greatest(lo, x))
+    step = lambda m, lo, hi: F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"))
+    low, high = F.lit(1.0), F.lit(16.0)
+    rows = checks.select(group, bucket.alias("_b"), F.struct(*order, (F.col("status") == "error").alias("limited")).alias("_x"))
+    parts = rows.groupBy(group, "_b").agg(F.sort_array(F.collect_list("_x")).alias("h"))
+    folded = F.aggregate(
+        "h", step(F.lit(1.0), F.lit(0.0), F.lit(1e300)),
+        lambda a, x: step(a["m"] * times(x), within(a["lo"] * times(x), low, high), within(a["hi"] * times(x), low, high)),
+    )
+    whole = parts.select(group, F.struct(F.col("_b").alias("b"), folded.alias("f")).alias("s")).groupBy(group).agg(F.sort_array(F.collect_list("s")).alias("h"))
+    return whole.select(group, F.aggregate("h", F.lit(1.0), lambda a, s: within(a * s["f"]["m"], s["f"]["lo"], s["f"]["hi"])).alias("factor"))
 
 
 def build_catalogue(extracted: DataFrame, doc: str) -> dict[str, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkcatalog.operators.ranks import global_rank
+
 MINUTE, DAY = 60, 86400
 MAX_ATTEMPTS = 5
 
@@ -26,8 +28,9 @@ def next_check(status: Column, attempts: Column, now: Column) -> Column:
 
 
 def latest_check(checks: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
-    order = Window.partitionBy(*key).orderBy(F.desc(at), F.desc(tie))
-    return checks.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """The last check of each key; combined before the shuffle."""
+    last = F.max_by(F.struct(*checks.columns), F.struct(F.col(at), F.col(tie)))
+    return checks.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(last.alias("_row")).select("_row.*")
 
 
 def relink(resources: DataFrame, latest: DataFrame, key: list[str]) -> DataFrame:
@@ -93,9 +96,26 @@ def claim_sources(sources: DataFrame, now: int, limit: int) -> DataFrame:
     return rows.orderBy("priority", F.asc_nulls_first("next_run_at"), "source_id").limit(limit)
 
 
-def round_robin(rows: DataFrame, group: str, order: list) -> DataFrame:
-    """Rows of all groups in turn: ``turn`` counts within the group."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def round_robin(rows: DataFrame, group: str, order: list, bucket: Column) -> DataFrame:
+    """Rows of all groups in turn: ``turn`` counts within the group. ``bucket`` does not fall along the order; rows
+    meet only those of their group and bucket, however large the group is."""
+    ranked = global_rank(rows.withColumn("_bucket", bucket), [group], "_bucket", order, "turn")
+    return ranked.withColumn("turn", (F.col("turn") + 1).cast("int")).drop("_bucket")
+
+
+def with_leases(queue: DataFrame, claimed: DataFrame, key: str, until: int, token: str) -> DataFrame:
+    """The queue after a claim: claimed rows carry the lease's end and token and count the attempt; a row whose
+    claim says ``failed`` leaves the queue with that status and no lease."""
+    took = claimed.select(key, F.col("claim").alias("_claim"), F.col("attempts_now").alias("_n"))
+    out = queue.join(took, key, "left")
+    mine, lost = F.col("_claim") == "claimed", F.col("_claim") == "failed"
+    return out.select(
+        *[c for c in queue.columns if c not in ("parse_status", "lease_until", "attempts")],
+        F.when(mine, "running").when(lost, "failed").otherwise(F.col("parse_status")).alias("parse_status"),
+        F.when(mine, F.lit(until)).when(lost, F.lit(None)).otherwise(F.col("lease_until")).cast("long").alias("lease_until"),
+        F.when(mine, F.lit(token)).alias("lease_token"),
+        F.coalesce("_n", "attempts").alias("attempts"),
+    )
 
 
 def parse_outcome(ok: Column, catalog: Column, attempts: Column, now: Column) -> Column:

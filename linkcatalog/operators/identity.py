@@ -48,8 +48,8 @@ def blocks(rows: DataFrame, pack: int = 50) -> DataFrame:
 
 def best_decision(decisions: DataFrame, key: str) -> DataFrame:
     """The ruling of most confidence (null counts 0), the first of equals."""
-    order = Window.partitionBy(key).orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "position")
-    return decisions.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    best = F.max_by(F.struct(*decisions.columns), F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("position")))
+    return decisions.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
 
 
 def resolve_target(items: DataFrame, rulings: DataFrame) -> DataFrame:
@@ -89,18 +89,22 @@ def assign_identities(media: DataFrame, targets: DataFrame) -> DataFrame:
 
 def merge_attributes(rows: DataFrame, group: str) -> DataFrame:
     """Of each group's rows: the smallest known year, the first known type and text (survivor first,
-    then by id), and the distinct titles in that order as aliases, ALIAS_CAP at most."""
+    then by id), and the distinct titles in that order as aliases, ALIAS_CAP at most.
+
+    Titles are made distinct first, and only the first ALIAS_CAP of a group are ever gathered."""
     place = F.struct((F.col("media_id") != F.col(group)).cast("int").alias("o"), F.col("media_id").alias("i"))
     first = lambda c, blank=None: F.min(
         F.when(F.col(c).isNotNull() & (F.lit(True) if blank is None else F.col(c) != blank), F.struct(place.alias("p"), F.col(c).alias("v")))
     )["v"]
-    listed = F.transform(F.sort_array(F.collect_set(F.struct(place.alias("p"), F.col("title").alias("t")))), lambda x: x["t"])
-    return rows.groupBy(group).agg(
+    one = rows.groupBy(group).agg(
         F.coalesce(F.min(F.nullif(F.col("year"), F.lit(0))), F.lit(0)).alias("year"),
         F.coalesce(first("media_type", "unknown"), F.lit("unknown")).alias("media_type"),
         first("title").alias("title"),
-        F.array_join(F.slice(F.array_distinct(listed), 1, ALIAS_CAP), "|").alias("aliases"),
     )
+    titles = rows.where("title is not null").groupBy(group, F.col("title").alias("alias")).agg(F.min(place).alias("p"))
+    titles = titles.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("p"))).where(F.col("rn") <= ALIAS_CAP)
+    listed = titles.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "alias"))), lambda x: x["alias"]), "|").alias("aliases"))
+    return one.join(listed, group, "left").withColumn("aliases", F.coalesce("aliases", F.lit("")))
 
 
 def upsert_works(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def normalize_for_hash(text: Column) -> Column:
@@ -19,24 +18,29 @@ def content_hash(text: Column) -> Column:
 
 
 def ingest_many(incoming: DataFrame, existing: DataFrame, order: str, text: str = "text") -> DataFrame:
-    """Each incoming row with content_hash and outcome: created, duplicated (an earlier row of the
-    batch or a stored one has the hash) or skipped (no text).
+    """(order, content_hash, outcome) of each incoming row: created, duplicated (an earlier row of the batch or a
+    stored one has the hash) or skipped (no text). ``order`` is unique in the batch.
 
-    The first of a hash is found by an aggregate, not by a window: a hash that a third of the batch
-    shares is combined before the shuffle.
+    Texts are normalised once and never shuffled: the first of each hash is found by an aggregate (combined
+    before the shuffle, where a third of the batch shares a hash) and met by ``order``, which has no hot
+    key; :func:`created_rows` takes the texts of those alone.
     """
-    rows = incoming.withColumn("content_hash", content_hash(F.col(text)))
-    blank = F.col(text).isNull() | (normalize_for_hash(F.col(text)) == "")
-    rows = rows.withColumn("content_hash", F.when(~blank, F.col("content_hash")))
-    first = rows.where("content_hash is not null").groupBy("content_hash").agg(F.min(order).alias("_first"))
-    stored = existing.select("content_hash", F.lit(True).alias("_stored")).distinct()
-    out = rows.join(first, "content_hash", "left").join(stored, "content_hash", "left")
-    outcome = (
-        F.when(F.col("content_hash").isNull(), "skipped")
-        .when(F.col("_stored").isNotNull() | (F.col(order) > F.col("_first")), "duplicated")
-        .otherwise("created")
-    )
-    return out.withColumn("outcome", outcome).drop("_first", "_stored")
+    plain = incoming.select(order, normalize_for_hash(F.col(text)).alias("_plain"))
+    keyed = plain.select(order, F.when(F.col("_plain") != "", F.sha2("_plain", 256)).alias("content_hash"))
+    first = keyed.where("content_hash is not null").groupBy("content_hash").agg(F.min(order).alias(order))
+    new = first.join(existing.select("content_hash").distinct(), "content_hash", "left_anti").select(order, F.lit(True).alias("_new"))
+    outcome = F.when(F.col("content_hash").isNull(), "skipped").when(F.col("_new"), "created").otherwise("duplicated")
+    return keyed.join(new, order, "left").select(order, "content_hash", outcome.alias("outcome"))
+
+
+def created_rows(incoming: DataFrame, outcomes: DataFrame, order: str) -> DataFrame:
+    """The rows to store, with their hashes."""
+    return incoming.join(outcomes.where("outcome = 'created'").select(order, "content_hash"), order)
+
+
+def report(outcomes: DataFrame) -> DataFrame:
+    """(outcome, n): what became of a batch."""
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def upsert_resources(old: DataFrame | None, mentions: DataFrame) -> DataFrame:
@@ -63,10 +67,10 @@ def upsert_resources(old: DataFrame | None, mentions: DataFrame) -> DataFrame:
 
 def upsert_latest(target: DataFrame, incoming: DataFrame, key: list[str], mark: str) -> DataFrame:
     """Last writer wins by ``mark``; an equal mark keeps the target. Append-only tables pass a
-    constant mark: what is there stays."""
-    both = target.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
-    order = Window.partitionBy(*key).orderBy(F.desc_nulls_last(mark), "_side")
-    return both.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_side")
+    constant mark: what is there stays. An aggregate, so that rows of a hot key are combined before the shuffle."""
+    both = target.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(-1)))
+    last = F.max_by(F.struct(*target.columns), F.struct(F.col(mark).isNotNull(), F.col(mark), F.col("_side")))
+    return both.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(last.alias("_row")).select("_row.*")
 
 
 def max_watermark(rows: DataFrame, mark: str) -> int | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,20 +82,33 @@ def search_trgm(works: DataFrame, keyword: str, limit: int, offset: int = 0) ->
     return out.where(hit).orderBy(F.desc("score"), F.desc("work_id")).offset(offset).limit(limit)
 
 
+#: Folders into which stored postings are dealt by their trigrams.
+POSTING_PARTS = 64
+
+
 def trigram_postings(works: DataFrame, text: str) -> DataFrame:
-    """(work_id, n, trigram): an index to be written once, bucketed or sorted by trigram; n counts the
-    work's trigrams."""
+    """(work_id, n, trigram, part): n counts the work's trigrams, part is the folder of the trigram."""
     own = works.select("work_id", trigrams(F.col(text)).alias("t"))
-    return own.select("work_id", F.size("t").alias("n"), F.explode("t").alias("trigram"))
+    rows = own.select("work_id", F.size("t").alias("n"), F.explode("t").alias("trigram"))
+    return rows.withColumn("part", (F.crc32("trigram") % POSTING_PARTS).cast("int"))
+
+
+def store_postings(works: DataFrame, text: str, path: str) -> DataFrame:
+    """Writes the postings once, by part and sorted by trigram within, and reads them."""
+    rows = trigram_postings(works, text).repartition("part").sortWithinPartitions("part", "trigram")
+    rows.write.partitionBy("part").parquet(path)
+    return works.sparkSession.read.parquet(path)
 
 
 def search_postings(postings: DataFrame, keyword: str, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
     """(work_id, score) of the works that are similar enough, from the postings of the keyword's few
-    trigrams alone: the literal list is a filter of the scan, and counts are combined before the
-    shuffle. Shared and own counts give the same similarity as :func:`similarity`."""
-    spark = postings.sparkSession
-    wanted = spark.range(1).select(trigrams(F.lit(keyword)).alias("t")).first()["t"]
-    hits = postings.where(F.col("trigram").isin(*wanted)).groupBy("work_id", "n").agg(F.count("*").alias("both"))
+    trigrams alone: their parts are the folders that are read, the trigrams a filter pushed to the scan;
+    counts are combined before the shuffle. Shared and own counts give the same similarity as
+    :func:`similarity`."""
+    wanted = postings.sparkSession.range(1).select(trigrams(F.lit(keyword)).alias("t")).first()["t"]
+    parts = sorted({zlib.crc32(t.encode()) % POSTING_PARTS for t in wanted})
+    own = postings.where(F.col("part").isin(*parts) & F.col("trigram").isin(*wanted))
+    hits = own.groupBy("work_id", "n").agg(F.count("*").alias("both"))
     score = F.col("both") / (F.col("n") + len(wanted) - F.col("both"))
     return hits.select("work_id", score.alias("score")).where(F.col("score") >= threshold)
 

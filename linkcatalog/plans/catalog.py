@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkcatalog.functions import misc
 from linkcatalog.operators import checks, counters, identity, ingest, search
 from linkcatalog.plans.entities import Catalog, with_entities
+from linkcatalog.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,16 +73,17 @@ _TRGM = """list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN gener
 
 @query(
     "search_trgm",
-    f"""+ t AS (SELECT p_partkey, p_name, {_TRGM.format("p_name")} AS a, {_TRGM.format("'small rong'")} AS b FROM part),
+    f"""+ k AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm_key FROM part),
+    t AS (SELECT *, {_TRGM.format("norm_key")} AS a, {_TRGM.format("'smallwidget'")} AS b FROM k),
     s AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS score FROM t)
-    SELECT p_partkey AS work_id, p_name AS title, round(score, 9) AS score FROM s WHERE score >= 0.2
+    SELECT p_partkey AS work_id, p_name AS title, round(score, 9) AS score FROM s
+    WHERE score >= 0.2 OR contains(norm_key, 'smallwidget') OR contains(lower(p_name), 'small widget')
     ORDER BY s.score DESC, work_id DESC LIMIT 50""",
     "work",
 )
 def search_trgm(c: Catalog) -> DataFrame:
-    rows = c.raw("part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"))
-    scored = rows.withColumn("score", search.similarity(F.col("title"), F.lit("small rong"))).where(F.col("score") >= search.TRIGRAM_THRESHOLD)
-    return scored.orderBy(F.desc("score"), F.desc("work_id")).limit(50).withColumn("score", F.round("score", 9))
+    rows = c.raw("part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"), search.key_column(F.col("p_name")).alias("norm_key"))
+    return search.search_trgm(rows, "small widget", 50).select("work_id", "title", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -92,7 +95,7 @@ def search_trgm(c: Catalog) -> DataFrame:
 )
 def search_trgm_indexed(c: Catalog) -> DataFrame:
     rows = c.raw("part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"))
-    found = search.search_postings(search.trigram_postings(rows, "title"), "green widget")
+    found = search.search_postings(search.store_postings(rows, "title", new_path(c.spark, "postings")), "green widget")
     return found.join(rows, "work_id").select("work_id", "title", F.round("score", 9).alias("score"))
 
 
@@ -131,8 +134,7 @@ def keyset_page(c: Catalog) -> DataFrame:
 
 @query("shard_cover", "SELECT doc_id, ('0x' || right(md5(CAST(doc_id AS VARCHAR)), 1))::INTEGER % 8 AS shard FROM documents")
 def shard_cover(c: Catalog) -> DataFrame:
-    last = F.conv(F.right(F.md5(F.col("doc_id").cast("string")), F.lit(1)), 16, 10).cast("int")
-    return c.raw("documents").select("doc_id", (last % 8).alias("shard"))
+    return c.raw("documents").select("doc_id", misc.shard_of(F.md5(F.col("doc_id").cast("string")), 8).alias("shard"))
 
 
 # --- counters and statistics ----------------------------------------------
@@ -428,7 +430,7 @@ def stale_summary(c: Catalog) -> DataFrame:
 
 @query("round_robin", "SELECT resource_id, provider, CAST(row_number() OVER (PARTITION BY provider ORDER BY last_seen, resource_id) AS INTEGER) AS turn FROM resource", "resource")
 def round_robin(c: Catalog) -> DataFrame:
-    return checks.round_robin(c.resource, "provider", ["last_seen", "resource_id"]).select("resource_id", "provider", "turn")
+    return checks.round_robin(c.resource, "provider", ["last_seen", "resource_id"], F.expr("last_seen div 86400")).select("resource_id", "provider", "turn")
 
 
 @query(

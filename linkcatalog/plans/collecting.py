@@ -43,14 +43,14 @@ _FETCHED = "l_suppkey AS source_id, l_orderkey AS message_id, l_suppkey % 7 = 0
 @query(
     "advance_cursors",
     f"""WITH s AS (SELECT {_CURSORS} FROM supplier), g AS (SELECT source_id, max(message_id) AS newest, min(message_id) AS oldest, bool_or(truncated) AS cut
-      FROM (SELECT {_FETCHED} FROM lineitem WHERE l_suppkey % 3 <> 0) GROUP BY source_id)
+      FROM (SELECT {_FETCHED} FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 0) GROUP BY source_id)
     SELECT source_id, CASE WHEN NOT cut THEN greatest(cursor, coalesce(pending, 0), newest) ELSE cursor END AS cursor,
       CASE WHEN coalesce(NOT cut, false) THEN NULL ELSE greatest(pending, newest) END AS pending, coalesce(backfill, oldest) AS backfill,
       coalesce(coalesce(backfill, oldest) <= 1, false) AS backfill_done FROM s LEFT JOIN g USING (source_id)""",
 )
 def advance_cursors(c: Catalog) -> DataFrame:
     sources = c.spark.sql(f"SELECT {_CURSORS} FROM {{s}}", s=c.raw("supplier"))
-    fetched = c.spark.sql(f"SELECT {_FETCHED} FROM {{l}} WHERE l_suppkey % 3 <> 0", l=c.raw("lineitem"))
+    fetched = c.spark.sql(f"SELECT {_FETCHED} FROM {{l}} JOIN {{s}} ON s_suppkey = l_suppkey WHERE s_acctbal >= 0", l=c.raw("lineitem"), s=c.raw("supplier"))
     return collect.advance_cursors(sources, fetched)
 
 

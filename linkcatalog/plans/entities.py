@@ -15,13 +15,13 @@ SQL = {
   CASE o_orderstatus WHEN 'F' THEN 'movie' WHEN 'O' THEN 'tv' ELSE 'unknown' END AS media_type,
   seconds(o_orderdate) AS created_at, o_totalprice AS price, o_orderstatus AS status FROM orders""",
     "mention": """SELECT CASE l_linestatus WHEN 'F' THEN 'quark' ELSE 'alipan' END AS provider, l_partkey AS share_id,
-  l_orderkey AS media_id, seconds(l_shipdate) AS seen_at, l_suppkey AS supplier, l_returnflag AS flag,
+  l_orderkey AS media_id, seconds(l_shipdate) AS seen_at, l_suppkey AS supplier, l_returnflag AS flag, l_quantity AS quantity,
   CASE WHEN l_linenumber = 1 THEN CAST(l_suppkey AS VARCHAR(20)) END AS passcode FROM lineitem""",
     "resource": """SELECT share_id * 2 + CASE provider WHEN 'quark' THEN 1 ELSE 0 END AS resource_id, provider, share_id,
   CASE share_id % 5 WHEN 0 THEN 'unchecked' WHEN 1 THEN 'invalid' WHEN 2 THEN 'error' ELSE 'valid' END AS check_status,
   count(*) AS seen_count, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM mention GROUP BY provider, share_id""",
     "bridge": """SELECT DISTINCT media_id, share_id * 2 + CASE provider WHEN 'quark' THEN 1 ELSE 0 END AS resource_id FROM mention
-  WHERE media_id % 11 <> 0 AND share_id % 13 <> 0""",
+  WHERE quantity <= 15""",
     "checks": """SELECT event_id AS check_id, user_id AS link, seconds(ts) AS checked_at,
   CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'view' THEN 'valid' WHEN 'signup' THEN 'invalid' WHEN 'click' THEN 'invalid'
     ELSE 'error' END AS status FROM events""",

@@ -130,7 +130,7 @@ def requeue_checkable(c: Catalog) -> DataFrame:
     "checks",
 )
 def interval_factors(c: Catalog) -> DataFrame:
-    return canon.interval_factors(c.checks, "link", ["checked_at", "check_id"]).withColumn("factor", F.round("factor", 6))
+    return canon.interval_factors(c.checks, "link", ["checked_at", "check_id"], F.expr("checked_at div 86400")).withColumn("factor", F.round("factor", 6))
 
 
 @query(

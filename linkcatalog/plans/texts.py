@@ -84,14 +84,22 @@ def title_keys(c: Catalog) -> DataFrame:
     return _posts(c).select("doc_id", *[titles.call(n, title).alias(n) for n in names])
 
 
+@query("title_series_key", """SELECT doc_id, '剧' || s AS norm_key FROM (SELECT doc_id, translate(substr(md5(text), 1, 6), '0123456789', 'ghijklmnop') AS s FROM documents)""")
+def title_series_key(c: Catalog) -> DataFrame:
+    """Digits are told as letters, as a number at the end of a title is no part of its key."""
+    name = F.translate(F.substr(F.md5("text"), F.lit(1), F.lit(6)), "0123456789", "ghijklmnop")
+    title = F.concat(F.lit("《剧"), name, F.lit("》 1080p 更新至20集"))
+    return c.raw("documents").select("doc_id", titles.call("series_norm_key", title).alias("norm_key"))
+
+
 @query(
-    "title_series_key",
-    "SELECT doc_id, '剧' || substr(md5(text), 1, 6) AS norm_key FROM documents WHERE regexp_matches(substr(md5(text), 1, 6), '^[a-f]{6}$')",
+    "document_links",
+    r"""SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, 'https?://[^\s<>"]+'), lambda x: regexp_replace(x, '[,.;:!?)\]}>"'']+$', '')),
+      lambda x: NOT regexp_matches(x, '^https?://([^/]*\.)?(t\.me|douban\.com)(/|$)')))) AS INTEGER) AS n FROM documents""",
 )
-def title_series_key(c: Catalog) -> DataFrame:
-    title = F.regexp_extract("post", "名称：([^\n]*)", 1)
-    rows = _posts(c).where(F.regexp_extract("post", "名称：剧([0-9a-f]{6})", 1).rlike("^[a-f]{6}$"))
-    return rows.select("doc_id", titles.call("norm_key", title).alias("norm_key"))
+def document_links(c: Catalog) -> DataFrame:
+    """The scan over the whole texts of the table."""
+    return c.raw("documents").select("doc_id", F.size(links.scan_links(F.col("text"))).alias("n"))
 
 
 @query("catalog_detect", "SELECT doc_id, doc_id % 3 = 0 OR doc_id % 4 = 0 AS catalog FROM documents")
@@ -142,9 +150,9 @@ def sheet_items(c: Catalog) -> DataFrame:
     return extract.items(extract.extract(rows, "row", "kind"), "doc_id").select("doc_id", "title", "quality", F.size("links").alias("n_links"))
 
 
-@query("page_titles", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+@query("page_titles", r"SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
 def page_titles(c: Catalog) -> DataFrame:
-    return c.raw("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return c.raw("pages").select("page_id", parsers.page_column(F.col("html"), F.col("url"))["title"].alias("title"))
 
 
 @query("page_scan")

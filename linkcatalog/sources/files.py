@@ -1,14 +1,9 @@
-"""File sources: posts from text and JSON-lines files, and a paged source with resumable offsets."""
+"""File sources: posts from text and JSON-lines files, whole or as streams."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
 
 
 def read_txt(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
@@ -29,37 +24,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = "text string, sourc
     return kept.where(~bad).select("row.*").drop("_bad"), kept.where(bad).select("value")
 
 
-class PagedPosts(DataSource):
-    """``spark.readStream.format("paged_posts").option("path", f)``: posts of a JSON-lines file in the
-    order of their ids; the offset is the greatest id seen, whether its post was stored or not."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_posts"
-
-    def schema(self) -> str:
-        return "id long, text string"
-
-    def simpleStreamReader(self, schema: StructType) -> PagedReader:
-        return PagedReader(self.options["path"], int(self.options.get("page", "20")))
-
-
-class PagedReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, page: int):
-        self.path, self.page = path, page
-
-    def _posts(self) -> list[tuple[int, str]]:
-        with open(self.path, encoding="utf-8") as f:
-            return sorted((int(x["id"]), x["text"]) for x in map(json.loads, f))
-
-    def initialOffset(self) -> dict:
-        return {"seen": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [p for p in self._posts() if p[0] > start["seen"]][: self.page]
-        return iter(new), {"seen": new[-1][0] if new else start["seen"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([p for p in self._posts() if start["seen"] < p[0] <= end["seen"]])
-
-
+def stream_posts(spark: SparkSession, path: str, schema: str = "id long, text string", files: int = 20) -> DataFrame:
+    """Posts of the JSON-lines files of a folder as a stream, ``files`` new ones a batch. The files are read in the
+    tasks from any Hadoop path; the checkpoint keeps which were seen."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkcatalog.operators import ingest
+from linkcatalog.storage import new_path
 
 STATE = "link long, checks long, status string, attempts int, flips int"
 
@@ -47,28 +45,22 @@ def check_machine(checks: DataFrame) -> DataFrame:
     )
 
 
-def ingest_batches(read_stored: Callable[[], DataFrame], write: Callable[[DataFrame], None], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: new posts against stored hashes; only created rows are written."""
+def ingest_batches(read_stored: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None], order: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: new posts against stored hashes; only created rows are written, by ``write(rows,
+    epoch)``, which a retried batch calls again with the same rows (it overwrites what the epoch wrote)."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        out = ingest.ingest_many(batch, read_stored(), order)
-        write(out.where("outcome = 'created'").drop("outcome"))
+        write(ingest.created_rows(batch, ingest.ingest_many(batch, read_stored(epoch), order), order), epoch)
 
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where none is set (local runs) one of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or os.path.join(tempfile.gettempdir(), "checkpoints", "streams")
-
-
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all that is there, batch by batch into Parquet in the shared folder with its
     checkpoint beside it, and reads the result. A batch has a folder of its own that a retry
     overwrites; mode ``complete`` keeps the last batch alone."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = new_path(spark, name)
     last: dict[str, int] = {}
 
     def write(batch: DataFrame, epoch: int) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkcatalog.operators import extract
 from linkcatalog.sources import files, parsers
+from linkcatalog.streaming import jobs
 
 
 def test_channel_page():
@@ -60,12 +61,21 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in good.collect()] == [("t", "s")] and bad.count() == 1
 
 
-def test_paged_stream(spark, tmp_path):
-    path = tmp_path / "posts.jsonl"
-    path.write_text("\n".join(json.dumps({"id": i, "text": f"t{i}"}) for i in range(1, 31)), encoding="utf-8")
-    reader = files.PagedReader(str(path), 20)
-    first, offset = reader.read(reader.initialOffset())
-    assert len(list(first)) == 20 and offset == {"seen": 20}
-    rest, offset = reader.read(offset)
-    assert [r[0] for r in rest] == list(range(21, 31)) and offset == {"seen": 30}
-    assert len(list(reader.readBetweenOffsets({"seen": 5}, {"seen": 7}))) == 2
+def test_ingest_stream(spark, tmp_path):
+    """Posts come in files; each text is stored once, in whichever batch it comes first."""
+    for i in range(4):
+        rows = [{"id": 10 * i + k, "text": f"post {k % (3 + i)}"} for k in range(10)]
+        (tmp_path / f"{i}.jsonl").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    out = str(tmp_path / "out")
+    schema = "id long, text string, content_hash string"
+
+    def stored(epoch):
+        if epoch == 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*[f"{out}/epoch={e}" for e in range(epoch)])
+
+    run = jobs.ingest_batches(stored, lambda rows, epoch: rows.select("id", "text", "content_hash").write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), "id")
+    posts = files.stream_posts(spark, str(tmp_path / "*.jsonl"), files=1)
+    posts.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(schema).parquet(*[f"{out}/epoch={e}" for e in range(4)]).collect()
+    assert sorted(r["text"] for r in kept) == [f"post {k}" for k in range(6)]
