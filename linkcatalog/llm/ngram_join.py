@@ -260,11 +260,13 @@ def classify(
     named = materialize(classes.select("rep", "d1", "d2", "id", "h", "m"), "names")
     discard(classes)
     wanted = hits.select("rep").distinct().join(named.select("rep", F.col("id").alias("i"), F.col("h").alias("g")), "rep")
+    wanted = materialize(wanted, "wanted")  # its size is known: small, it is broadcast, and the texts stay where they are
     texts = src.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("rep", "text")
     bodies = texts.mapInArrow(lambda it: _whole_sets(it, k), "rep long, body binary").dropDuplicates(["rep"])
     whole = hits.join(bodies, "rep").select(*ROW, "body")
     found = materialize(_dealt(whole).mapInArrow(lambda it: _links(it, num, den), _LINK), "found")
     discard(hits)
+    discard(wanted)
     comps = components(found.where("b is not null"))
     n_links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     joined = (
