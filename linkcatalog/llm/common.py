@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from linkcatalog.operators.ranks import global_rank  # noqa: F401
+from linkcatalog.storage import new_path
 
 SEP_CLASS = "\\x20\\x09-\\x0D"
 
@@ -20,24 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, whose tasks all run on this
-    machine, may leave it unset: then a temporary folder stands in. On a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return os.path.join(tempfile.gettempdir(), "checkpoints", "linkcatalog")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage for good."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -70,41 +55,6 @@ def hash_bucket(h, n_buckets: int):
     return F.call_function("div", h, F.lit(-(-(1 << HASH_BITS) // n_buckets)))
 
 
-#: Buckets whose sums meet in one window of :func:`global_rank`; these runs' sums meet in another.
-RUN = 4096
-
-
-def global_rank(df: DataFrame, groups: list[str], bucket: str, order: list, out: str, weight=None) -> DataFrame:
-    """Adds the 0-based position (or, with ``weight``, the sum of weights before the row) within
-    ``groups`` by (``bucket``, ``order``), without ever bringing a group into one task.
-
-    ``bucket`` must be non-decreasing along the wanted order. Rows meet only those of their own
-    bucket, bucket sums only those of their run of RUN buckets, and one row per (group, run) meets in
-    the last window: a group of 1e11 rows in buckets of 1024 has 24,000 of them.
-    """
-    keys = [*groups, bucket]
-    w = F.lit(1) if weight is None else F.col(weight)
-    before = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = df.groupBy(*keys).agg(F.sum(w).cast("long").alias("_sum")).withColumn("_run", F.expr(f"`{bucket}` div {RUN}"))
-    runs = sums.groupBy(*groups, "_run").agg(F.sum("_sum").alias("_of_run"))
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    runs = runs.withColumn("_start", before("_of_run", whole.orderBy("_run"))).drop("_of_run")
-    sums = sums.withColumn("_off", before("_sum", Window.partitionBy(*groups, "_run").orderBy(bucket))).drop("_sum")
-    offs = _joined(sums, runs, [*groups, "_run"]).select(*keys, (F.col("_off") + F.col("_start")).alias("_off"))
-    inner = Window.partitionBy(*keys).orderBy(*order)
-    own = F.row_number().over(inner) - 1 if weight is None else before(weight, inner)
-    joined = _joined(df.withColumn("_in", own), offs, keys)
-    return joined.withColumn(out, (F.col("_in") + F.col("_off")).cast("long")).drop("_in", "_off")
-
-
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be null."""
-    out = left.join(right, [left[k].eqNullSafe(right[k]) for k in keys], "left")
-    for k in keys:
-        out = out.drop(right[k])
-    return out
-
-
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

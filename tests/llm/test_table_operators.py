@@ -12,6 +12,7 @@ import pytest
 from linkcatalog.llm import additive_ann, common, crf_quality, entry, mixing, ngram_join, sharding
 from linkcatalog.llm.components import components
 from linkcatalog.llm.trie_join import join_block, needed
+from linkcatalog.operators import ranks
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -271,7 +272,7 @@ def brute_shards(rows, n_shards):
 
 def test_sharding_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
-    monkeypatch.setattr(common, "RUN", 3)  # both levels of buckets
+    monkeypatch.setattr(ranks, "RUN", 3)  # both levels of buckets
     r = random.Random(2)
     rows = [(i, r.choice(["a"] * 6 + ["b", "c", None])) for i in range(700)]
     docs = spark.createDataFrame([(i, "t" * (i % 9), s, 1) for i, s in rows], "doc_id long, text string, source string, _h int").repartition(3)
