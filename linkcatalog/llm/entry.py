@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_ann, bpe, crf_quality, importance, licenses, mixing, ngram_join, pii, quality_rules, sharding, token_counts
+from . import additive_ann, bpe, crf_quality, importance, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_crf_quality": crf_quality.op10_crf_quality,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
         "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_proportional_sharding": sharding.OP4_SQL,
         "op5_quality_cascade": quality_rules.OP5_SQL,
         "op7_source_mixing": mixing.OP7_SQL,
+        "op11_line_dedup": line_dedup.OP11_SQL,
     }
