@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_ann, bpe, crf_quality, importance, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, token_counts
+from . import additive_ann, alignment, bpe, crf_quality, importance, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": licenses.op9_license_scan,
         "op10_crf_quality": crf_quality.op10_crf_quality,
         "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
         "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
