@@ -125,32 +125,44 @@ def test_alignment_of_the_test_tables(spark, data, libraries):
 
 
 def test_pair_counts_are_sorted_and_whole(spark, libraries, monkeypatch):
+    for name, value in (("LINKS", 50), ("PAIRS", 20)):
+        monkeypatch.setattr(alignment, name, value)
     rows = [(k, t) for k, t in enumerate(ODD)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [tuple(x) for x in alignment.pair_counts(df).collect()]
+    got = [tuple(x) for x in alignment.pair_counts(alignment.align_texts(df, "doc_id", "text", None, None)).collect()]
     assert len({p for p, _ in got}) == len(got)
     n_links = sum(x[4] for x in brute(rows, libraries))
     assert sum(n for _, n in got) == n_links
 
 
-def test_caches_and_sums_that_are_full_change_nothing(libraries, monkeypatch):
-    for name, value in (("KEPT_BYTES", 3000), ("MOST", 3), ("GROUP", 50)):
+@pytest.mark.parametrize("cuts", [{}, {"KEPT": 5, "GROUP": 50}, {"KEPT_BYTES": 3000, "GROUP": 50, "CALL": 1}, {"CALL": 7, "GROUP": 1}])
+def test_caches_that_are_full_change_nothing(libraries, monkeypatch, cuts):
+    for name, value in cuts.items():
         monkeypatch.setattr(alignment, name, value)
-    aligner = alignment.Aligner(None, None)
-    seen = []
-    rows = [(k, t) for k, t in enumerate(ODD * 2)]
-    got = list(alignment.aligned_texts(aligner, pa.array([t for _, t in rows]), seen.extend))
-    want = {i: x for i, *x in brute(rows, libraries)}
-    for k, own in enumerate(got):
-        assert [sum(s.n_a for s in own), sum(s.n_b for s in own), sum(s.n_groups for s in own), sum(len(s.links) for s in own)] == want[k][:4]
-    assert {id(s) for own in got for s in own} <= {id(s) for s in seen}
+    cache = alignment.Cache(alignment.Aligner(None, None))
+    texts = ODD * 2
+    want = {i: x for i, *x in brute(list(enumerate(texts)), libraries)}
+    k = 0
+    for counts, pairs, each, digests in alignment.aligned_texts(cache, pa.array(texts)):
+        for j, digest in enumerate(digests):
+            assert [*(int(x[j]) for x in counts), digest] == [*want[k][:4], want[k][6]], texts[k]
+            k += 1
+        assert len(pairs) == each.sum()
+    assert k == len(texts)
+
+
+def test_links_come_back_as_they_were_packed():
+    r = random.Random(4)
+    texts = [[(r.randrange(1 << 20) << 32) | r.randrange(1 << 20) for _ in range(r.choice([0, 1, 40]))] * r.choice([1, 3]) for _ in range(30)]
+    values = alignment.packed(np.array([x for t in texts for x in t], np.int64), np.array([len(t) for t in texts]))
+    for t, value in zip(texts, values):
+        pairs, times = alignment.unpacked(value)
+        assert dict(zip(pairs.tolist(), times.tolist())) == dict(Counter(t))
 
 
 def test_sums_add_up_over_parts():
-    one = alignment.Segment(1, 1, 1, np.array([5, 7, 5]), "")
-    two = alignment.Segment(1, 1, 1, np.array([7, 9]), "")
     held = [np.array([5, 8]), np.array([2, 1])]
-    pair, n = alignment._summed(held, {1: [one, 3], 2: [two, 2]})
+    pair, n = alignment._summed(held, [(np.array([5, 7]), np.array([6, 3])), (np.array([7, 9]), np.array([2, 2]))])
     assert pair.tolist() == [5, 7, 8, 9] and n.tolist() == [8, 5, 1, 2]
 
 
