@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkcatalog.functions import links as L
 from linkcatalog.functions import titles as T
+from linkcatalog.functions.text import let, nfkc, nfkc_steps, one_of, pattern, program, strip
 
 # Labels of sheet columns.
 TITLE_COLUMNS = ("剧名", "名称", "片名", "标题", "资源名", "资源名称", "影片名", "电影名")
@@ -24,7 +22,7 @@ LINK_COLUMNS = (
     "社区链接", "下载链接", "分享链接", "磁力", "磁力下载", "磁力链接", "种子", "查看资源", "资源链接", "地址", "下载地址",
     "提取码", "访问码", "分享码", "密码",
 )
-SHARED_LINKS = re.compile(r"^\s*合集资源\s*[:：]", re.MULTILINE)
+SHARED_LINKS = pattern(r"(?m)^\s*合集资源\s*[:：]")
 EXTRACTOR_VERSION = {"rule": "v2", "sheet": "v1", "payload": "v1"}
 
 ITEM = (
@@ -34,103 +32,176 @@ ITEM = (
 OUTCOME = f"struct<is_catalog:boolean,items:array<{ITEM}>,unattributed:{L.LINK_TYPE},extractor:string,version:string>"
 
 
-def _item(title: str, **more) -> dict:
-    blank = dict(original_title=None, year=None, media_type="unknown", episode_info=None, quality="unknown", size_bytes=None, links=[], tags=[])
-    return {"title": title, "norm_key": T.norm_key(title)} | blank | more
+_NONE = {"links": L.LINK_TYPE, "tags": "array<struct<kind:string,name:string>>"}
+
+
+def _item(title: Column, key: Column, **more: Column) -> Column:
+    """An item of a cleaned title and its key; what isn't told is blank."""
+    blank = {"media_type": F.lit("unknown"), "quality": F.lit("unknown"), **{k: F.array().cast(kind) for k, kind in _NONE.items()}}
+    told = {"title": title, "norm_key": key} | blank | more
+    return F.struct(*[told.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _ITEM_FIELDS])
+
+
+_ITEM_FIELDS = (
+    ("title", "string"), ("norm_key", "string"), ("original_title", "string"), ("year", "int"), ("media_type", "string"), ("episode_info", "string"),
+    ("quality", "string"), ("size_bytes", "bigint"), ("links", L.LINK_TYPE), ("tags", "array<struct<kind:string,name:string>>"),
+)
+
+
+def _outcome(name: str, items: Column, links: Column, is_catalog: Column) -> Column:
+    """Items and the links that none of them has."""
+    key = lambda x: F.struct(x["provider"].alias("p"), x["share_id"].alias("s"))
+
+    def of_items(items: Column) -> Column:
+        used = F.flatten(F.transform(items, lambda i: F.transform(i["links"], key)))
+        left = let(used, lambda used: F.filter(links, lambda x: ~F.array_contains(used, key(x))))
+        return F.struct(
+            F.coalesce(is_catalog, F.lit(False)).alias("is_catalog"), items.alias("items"), left.alias("unattributed"), F.lit(name).alias("extractor"),
+            F.lit(EXTRACTOR_VERSION[name]).alias("version"),
+        )
+
+    return let(items, of_items)
+
 
+# Each extractor adds a column of its name step by step. Steps name the columns of steps before once, by let: merged into one
+# projection, they are still worked out once for each row.
 
-def _tags(text: str) -> list[dict]:
-    return [{"kind": k, "name": n} for k, n in T.extract_tags(text)]
+_X = "__extract_"
 
 
-def _outcome(name: str, items: list[dict], links: list[dict], is_catalog: bool = False) -> dict:
-    used = {(x["provider"], x["share_id"]) for i in items for x in i["links"]}
-    left = [x for x in links if (x["provider"], x["share_id"]) not in used]
-    return {"is_catalog": is_catalog, "items": items, "unattributed": left, "extractor": name, "version": EXTRACTOR_VERSION[name]}
+def _x(name: str) -> Column:
+    return F.col(_X + name)
 
 
-def rule_extract(text: str, links: list[dict]) -> dict:
+def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.withColumn(_X + name, value)
+
+
+def _keyed(df: DataFrame, name: str, *kept: str) -> DataFrame:
+    """An array of structs with ``raw`` gets ``raw`` in its compatibility form as ``plain``, cleaned as ``title``, and
+    the ``key`` of that."""
+    more = lambda x, *names: [x[n].alias(n) for n in (*kept, "raw", *names)]
+    df = _with(df, name, F.transform(_x(name), lambda x: F.struct(*more(x), program(x["raw"], nfkc_steps()).alias("plain"))))
+    df = _with(df, name, F.transform(_x(name), lambda x: F.struct(*more(x, "plain"), program(x["plain"], T.CLEANING).alias("title"))))
+    return _with(df, name, F.transform(_x(name), lambda x: F.struct(*more(x, "plain", "title"), T.key_of_cleaned(x["title"]).alias("key"))))
+
+
+def rule_extract(df: DataFrame, text: str) -> DataFrame:
     """Segments to items. A line that names shared links gives all links to every item; without it
     segments with a catalogue's title, or of five segments and more with one link at most, are no
     items, and a document of such alone is a catalogue."""
-    segments = L.segment_text(text, links)
-    shared = SHARED_LINKS.search(text) is not None and bool(links)
-    many = len(segments) >= 5 and len(links) <= 1
-    items, catalog = [], False
-    for s in segments:
-        raw = s.title_raw or ""
-        title = T.clean_title(raw)
-        if T.looks_like_junk_title(title):
-            continue
-        if not shared and (T.looks_like_catalog(raw) or many):
-            catalog = True
-            continue
-        items.append(_item(
-            title, year=T.extract_year(raw), media_type=T.guess_media_type(s.text, raw), episode_info=T.extract_episode_info(s.text),
-            quality=T.extract_quality(s.text), size_bytes=T.extract_size_bytes(s.text), tags=_tags(s.text), links=links if shared else s.links,
-        ))
-    return _outcome("rule", items, links, catalog and not items)
-
-
-def find_title(fields: dict[str, str]) -> str | None:
+    mine = _x("kind") == "rule"
+    df = _with(df, "segments", F.when(mine, let(_x("links"), lambda links: L.segment_text(F.col(text), links))))
+    df = _keyed(_with(df, "titled", F.transform(_x("segments"), lambda s: F.struct(s.alias("s"), F.coalesce(s["title_raw"], F.lit("")).alias("raw")))), "titled", "s")
+    more = lambda x: [x[n].alias(n) for n in ("s", "plain", "title", "key")]
+
+    def good(of: Column) -> Column:
+        return F.transform(
+            F.filter(of["titled"], lambda x: ~T.is_junk_key(x["title"], x["key"])),
+            lambda x: F.struct(*more(x), (~of["shared"] & (T.catalog_in(x["plain"]) | of["many"])).alias("listed")),
+        )
+
+    def items(of: Column) -> Column:
+        def item(x: Column, body: Column) -> Column:
+            media = let(T.media_type_in(x["plain"]), lambda k: F.when(k != "unknown", k).otherwise(T.media_type_in(body)))
+            return _item(
+                x["title"], x["key"], year=T.year_in(x["plain"]), media_type=media, episode_info=T.episode_in(body), quality=T.quality_in(body),
+                size_bytes=T.size_in(body), tags=T.tags_in(body), links=F.coalesce(of["shared"], x["s"]["links"]),
+            )
+
+        return F.transform(F.filter(of["good"], lambda x: ~x["listed"]), lambda x: let(nfkc(x["s"]["text"]), lambda body: item(x, body)))
+
+    df = _with(df, "shared", F.when(mine, let(_x("links"), lambda links: F.when(F.col(text).rlike(SHARED_LINKS) & (F.size(links) > 0), links))))
+    many = let(_x("links"), lambda links: F.size(links) <= 1)
+    told = F.struct(_x("titled").alias("titled"), _x("shared").isNotNull().alias("shared"), ((F.size(_x("segments")) >= 5) & many).alias("many"))
+    df = _with(df, "good", F.when(mine, let(told, good)))
+    df = _with(df, "items", F.when(mine, let(F.struct(_x("good").alias("good"), _x("shared").alias("shared")), items)))
+    made = F.struct(_x("items").alias("items"), _x("links").alias("links"), (F.size(_x("good")) > 0).alias("any"))
+    return _with(df, "rule", F.when(mine, let(made, lambda of: _outcome("rule", of["items"], of["links"], of["any"] & (F.size(of["items"]) == 0)))))
+
+
+def find_title(fields: Column) -> Column:
     """A title column's value; else the first column that is neither known nor a link. A value that
-    echoes its column's name is a header."""
-    real = {k: v for k, v in fields.items() if k.casefold() != v.casefold()}
+    echoes its column's name is a header. ``fields``: array<struct<k, v>>, each label once."""
     other = (*LINK_COLUMNS, *NOTE_COLUMNS, *YEAR_COLUMNS, *QUALITY_COLUMNS, *EPISODE_COLUMNS, *TYPE_COLUMNS)
-    named = [v for k, v in real.items() if k in TITLE_COLUMNS]
-    free = [v for k, v in real.items() if k not in other and not re.match(r"(?i)https?://|magnet:", v)]
-    return next(iter(named or free), None)
+    real = F.filter(fields, lambda p: F.lower(p["k"]) != F.lower(p["v"]))
+    named = F.filter(real, lambda p: p["k"].isin(*TITLE_COLUMNS))
+    free = F.filter(real, lambda p: ~one_of(p["k"], other) & ~p["v"].rlike("(?i)^(?:https?://|magnet:)"))
+    return F.coalesce(F.get(named, F.lit(0))["v"], F.get(free, F.lit(0))["v"])
 
 
-def sheet_extract(text: str, links: list[dict], fields: dict[str, str]) -> dict:
-    """One row of a sheet to one item with all its links."""
-    raw = find_title(fields)
-    title = T.clean_title(raw) if raw else ""
-    if raw and T.looks_like_catalog(raw):
-        return _outcome("sheet", [], links, True)
-    if T.looks_like_junk_title(title):
-        return _outcome("sheet", [], links)
-    first = lambda names: next((v for k, v in fields.items() if k in names), None)
-    kinds = (T.guess_media_type(x) for x in (first(TYPE_COLUMNS), raw) if x)
-    item = _item(
-        title, year=T.extract_year(first(YEAR_COLUMNS) or "") or T.extract_year(raw), media_type=next((k for k in kinds if k != "unknown"), "unknown"),
-        episode_info=T.extract_episode_info(first(EPISODE_COLUMNS) or raw), quality=T.extract_quality(first(QUALITY_COLUMNS) or raw), tags=_tags(text), links=links,
-    )
-    return _outcome("sheet", [item], links)
+def _each_label_once(pairs: Column) -> Column:
+    """The last value of a label, in the place of its first."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), last(k).alias("v")))
 
 
-def payload_extract(payload: str, text: str, links: list[dict]) -> dict:
+def sheet_extract(df: DataFrame, text: str) -> DataFrame:
+    """One row of a sheet to one item with all its links."""
+    mine = _x("kind") == "sheet"
+    df = _with(df, "fields", F.when(mine, let(L.field_lines(F.col(text)), _each_label_once)))
+    df = _with(df, "named", F.when(mine, F.array(F.struct(F.coalesce(let(_x("fields"), find_title), F.lit("")).alias("raw")))))
+    df = _keyed(df, "named")
+    first = lambda fields, names: F.get(F.filter(fields, lambda p: p["k"].isin(*names)), F.lit(0))["v"]
+    columns = {"year": YEAR_COLUMNS, "kind": TYPE_COLUMNS, "episode": EPISODE_COLUMNS, "quality": QUALITY_COLUMNS}
+    df = _with(df, "cells", let(_x("fields"), lambda fields: F.struct(*[first(fields, names).alias(n) for n, names in columns.items()])))
+
+    def item(of: Column) -> Column:
+        raw, cells = of["x"]["raw"], of["cells"]
+        told = lambda n: F.coalesce(F.nullif(cells[n], F.lit("")), raw)
+        return _item(
+            of["x"]["title"], of["x"]["key"], year=F.coalesce(T.extract_year(cells["year"]), T.extract_year(raw)),
+            media_type=let(T.guess_media_type(F.coalesce(cells["kind"], F.lit(""))), lambda k: F.when(k != "unknown", k).otherwise(T.guess_media_type(raw))),
+            episode_info=T.extract_episode_info(told("episode")), quality=T.extract_quality(told("quality")), tags=T.extract_tags(F.col(text)), links=of["links"],
+        )
+
+    df = _with(df, "listed", F.when(mine, let(_x("named")[0]["raw"], lambda raw: (raw != "") & T.looks_like_catalog(raw))))
+    df = _with(df, "junk", F.when(mine, let(_x("named")[0], lambda x: T.is_junk_key(x["title"], x["key"]))))
+    of = F.struct(_x("named")[0].alias("x"), _x("cells").alias("cells"), _x("links").alias("links"))
+    none = F.array().cast(f"array<{ITEM}>")
+    df = _with(df, "items", F.when(mine, F.when(_x("listed") | _x("junk"), none).otherwise(F.array(let(of, item)))))
+    made = F.struct(_x("items").alias("items"), _x("links").alias("links"), _x("listed").alias("listed"))
+    return _with(df, "sheet", F.when(mine, let(made, lambda of: _outcome("sheet", of["items"], of["links"], of["listed"]))))
+
+
+def payload_extract(df: DataFrame, text: str, payload: str) -> DataFrame:
     """A model's stored answer: links by index, each once, out-of-range ones dropped; untitled items
-    dropped; tags only where one item is all."""
-    try:
-        data = json.loads(payload)
-    except ValueError:
-        data = {}
-    data = data if isinstance(data, dict) else {}
-    raw_items = data.get("items") if isinstance(data.get("items"), list) else []
-    items, taken = [], set()
-    opt = lambda v: str(v).strip() or None if v is not None else None
-    for raw in raw_items:
-        if not isinstance(raw, dict):
-            continue
-        name = str(raw.get("title") or "").strip()
-        title = T.clean_title(name) or name
-        if not T.norm_key(title):
-            continue
-        own = []
-        for i in raw.get("link_indexes") or []:
-            if type(i) is int and 0 <= i < len(links) and i not in taken:
-                taken.add(i)
-                own.append(links[i])
-        year = raw.get("year")
-        items.append(_item(
-            title, original_title=opt(raw.get("original_title")), year=year if type(year) is int and 1900 <= year <= 2100 else None,
-            media_type=raw.get("media_type") if raw.get("media_type") in MEDIA_TYPES else "unknown", episode_info=opt(raw.get("episode_info")),
-            quality=raw.get("quality") if raw.get("quality") in QUALITIES else "unknown", links=own,
+    dropped; tags only where one item is all. What is no JSON object has no items."""
+    mine = _x("kind") == "payload"
+    get = lambda v, name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    is_int = lambda v: F.coalesce(F.schema_of_variant(v) == "BIGINT", F.lit(False))
+    said = lambda v, name: F.nullif(strip(get(v, name, "string")), F.lit(""))
+    nothing = F.array().cast("array<variant>")
+    df = _with(df, "answer", F.when(mine, F.try_parse_json(F.col(payload))))
+    raw = F.filter(F.coalesce(get(_x("answer"), "items", "array<variant>"), nothing), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    df = _keyed(_with(df, "said", F.when(mine, F.transform(raw, lambda v: F.struct(v.alias("v"), F.coalesce(said(v, "title"), F.lit("")).alias("raw"))))), "said", "v")
+
+    def read(of: Column) -> Column:
+        def item(x: Column) -> Column:
+            wanted = F.filter(F.coalesce(get(x["v"], "link_indexes", "array<variant>"), nothing), is_int)
+            wanted = F.filter(F.transform(wanted, lambda i: F.try_variant_get(i, "$", "int")), lambda i: i.between(0, F.size(of["links"]) - 1))
+            year = let(get(x["v"], "year", "variant"), lambda y: F.when(is_int(y), F.try_variant_get(y, "$", "int")))
+            title = F.when(x["title"] != "", x["title"]).otherwise(x["raw"])
+            return F.struct(x["v"].alias("v"), title.alias("title"), x["key"].alias("key"), F.array_distinct(wanted).alias("wanted"), year.alias("year"))
+
+        return F.transform(F.filter(of["said"], lambda x: x["key"] != ""), item)
+
+    def items(of: Column) -> Column:
+        kept, links = of["kept"], of["links"]
+        taken = lambda n: F.flatten(F.transform(F.slice(kept, 1, n), lambda x: x["wanted"]))
+        own = lambda x, n: F.transform(F.filter(x["wanted"], lambda i: ~F.array_contains(taken(n), i)), lambda i: F.get(links, i))
+        one_of = lambda v, name, known: let(get(v, name, "string"), lambda k: F.when(k.isin(*known), k).otherwise(F.lit("unknown")))
+        return F.transform(kept, lambda x, n: _item(
+            x["title"], x["key"], original_title=said(x["v"], "original_title"), year=F.when(x["year"].between(1900, 2100), x["year"]), media_type=one_of(x["v"], "media_type", MEDIA_TYPES),
+            episode_info=said(x["v"], "episode_info"), quality=one_of(x["v"], "quality", QUALITIES), links=own(x, n),
+            tags=F.when(F.size(kept) == 1, T.extract_tags(F.col(text))).otherwise(F.array().cast(_NONE["tags"])),
         ))
-    if len(items) == 1:
-        items[0]["tags"] = _tags(text)
-    return _outcome("payload", items, links, bool(data.get("is_catalog")))
+
+    df = _with(df, "kept", F.when(mine, let(F.struct(_x("said").alias("said"), _x("links").alias("links")), read)))
+    df = _with(df, "items", F.when(mine, let(F.struct(_x("kept").alias("kept"), _x("links").alias("links")), items)))
+    made = F.struct(_x("items").alias("items"), _x("links").alias("links"), get(_x("answer"), "is_catalog", "boolean").alias("listed"))
+    return _with(df, "payload", F.when(mine, let(made, lambda of: _outcome("payload", of["items"], of["links"], of["listed"]))))
 
 
 MEDIA_TYPES = ("movie", "tv", "anime", "variety", "documentary", "book", "comic", "other", "unknown")
@@ -140,23 +211,19 @@ SHEET_SOURCES = ("tencent_docs", "kdocs")
 
 def extract(docs: DataFrame, text: str = "text", source_type: str | None = None, payload: str | None = None) -> DataFrame:
     """``docs`` with ``outcome``: the stored answer where ``payload`` has one, sheet rows for sheet sources, rules
-    for all others. Links and fields come from column functions; one Arrow pass does the rest. Null text gives a
-    null outcome."""
-    kind = F.when(F.col(source_type).isin(*SHEET_SOURCES), F.lit("sheet")).otherwise(F.lit("rule")) if source_type else F.lit("rule")
-    answer = F.col(payload) if payload else F.lit(None).cast("string")
-    kind = F.when(answer.isNotNull(), F.lit("payload")).otherwise(kind)
-
-    def run(x, links, kind, answer, fields):
-        if x is None:
-            return None
-        links = L.as_dicts(links)
-        if kind == "payload":
-            return payload_extract(answer, x, links)
-        return sheet_extract(x, links, {p["k"]: p["v"] for p in fields}) if kind == "sheet" else rule_extract(x, links)
-
-    own = F.col(text)
-    fields = F.when(kind == "sheet", L.field_lines(own))  # no nested lambdas: Python functions take none in their arguments
-    return docs.withColumn("outcome", F.udf(run, OUTCOME, useArrow=True)(own, L.scan_links(own), kind, answer, fields))
+    for all others. All are column expressions. Null text gives a null outcome."""
+    kind = F.when(F.col(text).isNotNull(), F.lit("rule"))
+    if source_type:
+        kind = F.when(F.col(text).isNotNull() & F.col(source_type).isin(*SHEET_SOURCES), F.lit("sheet")).otherwise(kind)
+    if payload:
+        kind = F.when(F.col(text).isNotNull() & F.col(payload).isNotNull(), F.lit("payload")).otherwise(kind)
+    df = rule_extract(_with(_with(docs, "kind", kind), "links", L.scan_links(F.col(text))), text)
+    done = ["rule"]
+    if source_type:
+        df, done = sheet_extract(df, text), [*done, "sheet"]
+    if payload:
+        df, done = payload_extract(df, text, payload), [*done, "payload"]
+    return df.select(*docs.columns, F.coalesce(*[_x(n) for n in done]).alias("outcome"))
 
 
 def items(extracted: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkcatalog.functions import links
 from linkcatalog.operators import identity, ingest
+from linkcatalog.operators.repairs import DELETE_SHARE, REHOME_SHARE
 
 
 # --- repairs --------------------------------------------------------------
@@ -25,17 +26,19 @@ def forecast_merges(plans: DataFrame, media: DataFrame) -> DataFrame:
     return out.select(*plans.columns, ((F.col("kind") == "rehome") & (F.coalesce("_n", F.lit(0)) > 1)).alias("expect_merge"))
 
 
-def apply_repairs(media: DataFrame, bridge: DataFrame, plans: DataFrame, delete_share: float = 0.05, rehome_share: float = 0.2) -> dict[str, DataFrame]:
-    """Deletes, then retitles, then rehomes, behind the gate of :func:`identity.blast_gate`: a kind whose plans
-    are more than its share of all seasons does nothing.
+def apply_repairs(
+    media: DataFrame, bridge: DataFrame, plans: DataFrame, delete_share: float = DELETE_SHARE, rehome_share: float = REHOME_SHARE, force: bool = False
+) -> dict[str, DataFrame]:
+    """Deletes, then retitles, then rehomes, behind the gate of :func:`identity.blast_gate`: where the plans of any kind
+    are more than its share of all seasons nothing is done at all, unless ``force``.
 
     ``media``: media_id, work_key, season, title; ``plans``: media_id, kind, title, target_key, season. Rehomed
     seasons that meet others at their target become one with them: the one that sits there and stays, else
     the one with the most links, takes the links of all, each once. Returns media, bridge and mapping
     (media_id, survivor).
     """
-    gate = identity.blast_gate(plans, media, delete_share, rehome_share).where("blocked").select("kind")
-    plans = plans.join(F.broadcast(gate), "kind", "left_anti")  # two rows at most
+    if not force and not identity.blast_gate(plans, media, delete_share, rehome_share).where("blocked").isEmpty():
+        plans = plans.limit(0)
     gone = plans.where("kind = 'delete'").select("media_id")
     media, bridge = media.join(gone, "media_id", "left_anti"), bridge.join(gone, "media_id", "left_anti")
     titled = plans.where("kind = 'retitle'").select("media_id", F.col("title").alias("_title"))
@@ -73,20 +76,49 @@ def rebuild_works(media: DataFrame, works: DataFrame, rulings: DataFrame) -> dic
 # --- links ----------------------------------------------------------------
 
 
-def cleanup_resources(resources: DataFrame, bridge: DataFrame) -> dict[str, DataFrame]:
-    """Links of unknown provider whose address by now has a known form take its provider and share id; those
-    that turn out the same become one (:func:`identity.merge_resources`) with the seasons of all; links to pages
-    that are no shared files go with their pairs. ``resources``: resource_id, provider, share_id, url,
-    seen_count, first_seen, last_seen, size. Returns resources, bridge and counts (media_id, resource_count)."""
+#: What a link takes over from its duplicates where it has none.
+FILLED = ("passcode", "title_raw", "episode_info", "size", "sharer_id", "sharer_name", "sharer_avatar_url")
+
+
+def cleanup_resources(resources: DataFrame, bridge: DataFrame, provider: str = "ctfile") -> dict[str, DataFrame]:
+    """Links of unknown provider whose address has the form of ``provider``, which came to be known late, become
+    its links. Those that turn out the same are one: the link that had this identity before, else the
+    smallest id, keeps its address, sums up how often all were seen, fills its blanks (FILLED) from the others by
+    id, and takes their seasons. Links of unknown provider to pages that are no shared files go with their
+    pairs. All other links stay as they are.
+
+    ``resources``: resource_id, provider, share_id, url, seen_count, first_seen, last_seen, and any of FILLED. Returns
+    resources, bridge and counts (media_id, resource_count) of the seasons that any of this touched.
+    Only links of this provider are shuffled, and only the pairs of those that end.
+    """
     known = F.when(F.col("provider") == "other", links.provider_of(F.col("url")))
     rows = resources.withColumn("_known", known)
-    rows = rows.withColumn("provider", F.coalesce("_known.provider", "provider")).withColumn("share_id", F.coalesce("_known.share_id", "share_id")).drop("_known")
-    rows = rows.where(~((F.col("provider") == "other") & links.is_page(F.col("url"))))
-    merged = identity.merge_resources(rows, ["provider", "share_id"])
-    to = rows.select(F.col("resource_id").alias("_old"), "provider", "share_id").join(merged.select("provider", "share_id", "resource_id"), ["provider", "share_id"])
-    pairs = bridge.join(to, bridge["resource_id"] == to["_old"]).select(bridge["media_id"], to["resource_id"]).distinct()
-    counts = pairs.groupBy("media_id").agg(F.count("*").alias("resource_count"))
-    return {"resources": merged, "bridge": pairs, "counts": counts}
+    found = F.coalesce(F.col("_known.provider") == provider, F.lit(False))
+    rows = rows.withColumn("_found", found).withColumn("_page", (F.col("provider") == "other") & ~found & links.is_page(F.col("url")))
+    same = rows.where((F.col("provider") == provider) | F.col("_found")).withColumn("_share", F.when(F.col("_found"), F.col("_known.share_id")).otherwise(F.col("share_id")))
+    place = F.struct("_found", "resource_id")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+    alike = same.groupBy("_share").agg(
+        F.min_by(F.struct("resource_id", "url", "_found"), place).alias("own"), F.sum("seen_count").alias("seen_count"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), *[first(c) for c in FILLED if c in resources.columns],
+    )
+    renewed = {"resource_id": F.col("own.resource_id"), "url": F.col("own.url"), "provider": F.lit(provider), "share_id": F.col("_share")}
+    rest = [c for c in resources.columns if c not in (*renewed, *alike.columns)]
+    merged = alike
+    if rest:  # columns that only the kept link tells
+        merged = alike.join(resources.select(F.col("resource_id").alias("_id"), *rest), F.col("own.resource_id") == F.col("_id"))
+    merged = merged.select(*[renewed.get(c, F.col(c)).alias(c) for c in resources.columns])
+    others = rows.where((F.col("provider") != provider) & ~F.col("_found") & ~F.col("_page")).select(*resources.columns)
+    to = same.join(alike.select("_share", F.col("own.resource_id").alias("target")), "_share").select(F.col("resource_id").alias("_old"), "target")
+    ended = to.where("_old <> target").unionByName(rows.where("_page").select(F.col("resource_id").alias("_old"), F.lit(None).cast(dict(to.dtypes)["target"]).alias("target")))
+    moving = bridge.join(ended, F.col("resource_id") == F.col("_old")).drop("_old")
+    came = moving.where("target is not null").select("media_id", F.col("target").alias("resource_id")).distinct().join(bridge, ["media_id", "resource_id"], "left_anti")
+    stayed = bridge.join(ended.select(F.col("_old").alias("resource_id")), "resource_id", "left_anti").select("media_id", "resource_id")
+    pairs = stayed.unionByName(came.select("media_id", "resource_id"))
+    grew = bridge.join(to.where("_old <> target").select(F.col("target").alias("resource_id")).distinct(), "resource_id", "left_semi")
+    touched = moving.select("media_id").unionByName(grew.select("media_id")).distinct()
+    counts = touched.join(pairs, "media_id", "left").groupBy("media_id").agg(F.count("resource_id").alias("resource_count"))
+    return {"resources": others.unionByName(merged), "bridge": pairs, "counts": counts}
 
 
 # --- stored answers -------------------------------------------------------

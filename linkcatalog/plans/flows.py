@@ -51,22 +51,35 @@ def repair_forecast(c: Catalog) -> DataFrame:
     return flows.forecast_merges(plans, media).select("media_id", "kind", "expect_merge")
 
 
-@query(
-    "repair_apply",
-    f"""{_PLANS}, total AS (SELECT count(*) AS n FROM m), ok AS (SELECT * FROM p WHERE NOT (kind = 'delete' AND (SELECT count(*) FROM p WHERE kind = 'delete') > 0.5 * (SELECT n FROM total))
-      AND NOT (kind = 'rehome' AND (SELECT count(*) FROM p WHERE kind = 'rehome') > 0.6 * (SELECT n FROM total))),
-    left_ AS (SELECT m.media_id, coalesce(h.target_key, work_key) AS work_key, coalesce(h.season, m.season) AS season, coalesce(r.title, m.title) AS title,
+_REPAIRED = """    left_ AS (SELECT m.media_id, coalesce(h.target_key, work_key) AS work_key, coalesce(h.season, m.season) AS season, coalesce(r.title, m.title) AS title,
         coalesce(h.target_key, work_key) = work_key AND coalesce(h.season, m.season) = m.season AS sits, (SELECT count(*) FROM bridge WHERE bridge.media_id = m.media_id) AS links
       FROM m LEFT JOIN ok r ON r.media_id = m.media_id AND r.kind = 'retitle' LEFT JOIN ok h ON h.media_id = m.media_id AND h.kind = 'rehome'
       WHERE m.media_id NOT IN (SELECT media_id FROM ok WHERE kind = 'delete')),
     f AS (SELECT *, first_value(media_id) OVER (PARTITION BY work_key, season ORDER BY sits DESC, links DESC, CAST(media_id AS VARCHAR) DESC) AS survivor FROM left_),
     b AS (SELECT survivor AS media_id, count(DISTINCT resource_id) AS n FROM f JOIN bridge USING (media_id) GROUP BY survivor)
-    SELECT media_id, work_key, season, title, CAST(coalesce(n, 0) AS BIGINT) AS links FROM f LEFT JOIN b USING (media_id) WHERE media_id = survivor""",
+    SELECT media_id, work_key, season, title, CAST(coalesce(n, 0) AS BIGINT) AS links FROM f LEFT JOIN b USING (media_id) WHERE media_id = survivor"""
+
+
+@query("repair_apply", f"{_PLANS}, ok AS (SELECT * FROM p),\n{_REPAIRED}", "media", "bridge")
+def repair_apply(c: Catalog) -> DataFrame:
+    return _repaired(c, True)
+
+
+@query(
+    "repair_gate",
+    f"""{_PLANS}, total AS (SELECT count(*) AS n FROM m), many AS (SELECT kind, count(*) AS k FROM p GROUP BY kind),
+    ok AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM many, total WHERE (kind = 'delete' AND k > 0.05 * n) OR (kind = 'rehome' AND k > 0.2 * n))),
+{_REPAIRED}""",
     "media", "bridge",
 )
-def repair_apply(c: Catalog) -> DataFrame:
+def repair_gate(c: Catalog) -> DataFrame:
+    """The same plans without force: too many deletes, so that rehomes and retitles are refused as well."""
+    return _repaired(c, False)
+
+
+def _repaired(c: Catalog, force: bool) -> DataFrame:
     media, plans = _repairs(c)
-    out = flows.apply_repairs(media, c.bridge, stored(plans, "repair-plans"), 0.5, 0.6)
+    out = flows.apply_repairs(media, c.bridge, stored(plans, "repair-plans"), force=force)
     counts = out["bridge"].groupBy("media_id").agg(F.count("*").alias("links"))
     return out["media"].join(counts, "media_id", "left").select("media_id", "work_key", "season", "title", F.coalesce("links", F.lit(0)).alias("links"))
 
@@ -97,27 +110,46 @@ def rebuild_works_flow(c: Catalog) -> DataFrame:
     return joined.withColumn("year", F.col("year").cast("long"))
 
 
-_URLS = """resource_id, provider, CASE WHEN share_id % 3 = 0 THEN 'other' ELSE provider END AS p,
-  CASE share_id % 9 WHEN 0 THEN 'https://url01.ctfile.com/f/' || CAST(share_id // 2 AS VARCHAR(20)) WHEN 3 THEN 'https://t.me/c' || CAST(share_id AS VARCHAR(20)) ELSE 'https://new.example/' || CAST(share_id AS VARCHAR(20)) END AS url"""
+_URLS = """resource_id, share_id AS n, CASE WHEN share_id % 3 = 0 THEN 'other' WHEN share_id % 9 = 1 AND provider = 'quark' THEN 'ctfile' ELSE provider END AS provider,
+  CASE share_id % 9 WHEN 0 THEN 'https://url01.ctfile.com/f/' || CAST(share_id // 2 AS VARCHAR(20)) WHEN 1 THEN 'https://old.example/' || CAST(share_id AS VARCHAR(20))
+    WHEN 3 THEN 'https://t.me/c' || CAST(share_id AS VARCHAR(20)) WHEN 6 THEN 'https://pan.quark.cn/s/a' || CAST(share_id AS VARCHAR(20)) ELSE 'https://new.example/' || CAST(share_id AS VARCHAR(20)) END AS url,
+  seen_count, first_seen, last_seen, CASE WHEN provider = 'quark' THEN 'c' || CAST(resource_id AS VARCHAR(20)) END AS passcode, CASE WHEN seen_count % 2 = 0 THEN 't' || CAST(resource_id AS VARCHAR(20)) END AS title_raw,
+  CASE WHEN check_status = 'valid' THEN resource_id END AS size, check_status"""
+_SHARES = "*, CASE provider WHEN 'other' THEN url WHEN 'ctfile' THEN 'f/' || CAST(n // 2 AS VARCHAR(20)) ELSE CAST(n AS VARCHAR(20)) END AS share_id"
 
 
 @query(
     "cleanup_resources_flow",
-    f"""+ r AS (SELECT {_URLS}, share_id, seen_count, first_seen, last_seen FROM resource),
-    k AS (SELECT resource_id, CASE WHEN p = 'other' AND url LIKE '%ctfile%' THEN 'ctfile' ELSE p END AS provider, CASE WHEN p <> 'other' THEN CAST(share_id AS VARCHAR) WHEN url LIKE '%ctfile%' THEN substr(url, 26) ELSE url END AS share_id,
-      seen_count, first_seen, last_seen FROM r WHERE NOT (p = 'other' AND url LIKE '%t.me%')),
-    m AS (SELECT provider, share_id, min(resource_id) AS resource_id, sum(seen_count) AS seen_count, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM k GROUP BY provider, share_id)
-    SELECT m.resource_id, provider, share_id, CAST(m.seen_count AS BIGINT) AS seen_count, m.first_seen, m.last_seen,
-      (SELECT count(DISTINCT b.media_id) FROM bridge b JOIN k USING (resource_id) WHERE k.provider = m.provider AND k.share_id = m.share_id) AS seasons FROM m""",
+    f"""+ r AS (SELECT {_SHARES} FROM (SELECT {_URLS} FROM resource)),
+    k AS (SELECT *, provider = 'other' AND url LIKE '%ctfile%' AS found, CASE WHEN provider = 'other' AND url LIKE '%ctfile%' THEN substr(url, 26) ELSE share_id END AS s FROM r WHERE NOT (provider = 'other' AND url LIKE '%t.me%')),
+    t AS (SELECT *, CASE WHEN found OR provider = 'ctfile' THEN first_value(resource_id) OVER (PARTITION BY found OR provider = 'ctfile', s ORDER BY found, resource_id) ELSE resource_id END AS target FROM k),
+    m AS (SELECT target AS resource_id, sum(seen_count) AS seen_count, min(first_seen) AS first_seen, max(last_seen) AS last_seen, any_value(s) AS share_id,
+      arg_min(passcode, (found, resource_id)) FILTER (passcode IS NOT NULL) AS passcode, arg_min(title_raw, (found, resource_id)) FILTER (title_raw IS NOT NULL) AS title_raw,
+      arg_min(size, (found, resource_id)) FILTER (size IS NOT NULL) AS size FROM t GROUP BY target)
+    SELECT m.resource_id, CASE WHEN k.found THEN 'ctfile' ELSE k.provider END AS provider, m.share_id, k.url, CAST(m.seen_count AS BIGINT) AS seen_count, m.first_seen, m.last_seen, m.passcode, m.title_raw, m.size, k.check_status,
+      (SELECT count(DISTINCT b.media_id) FROM bridge b JOIN t USING (resource_id) WHERE t.target = m.resource_id) AS seasons FROM m JOIN k ON k.resource_id = m.resource_id""",
     "resource", "bridge",
 )
 def cleanup_resources_flow(c: Catalog) -> DataFrame:
-    rows = c.spark.sql(f"SELECT {_URLS.replace('share_id // 2', 'share_id div 2')}, share_id, seen_count, first_seen, last_seen FROM {{r}}", r=c.resource)
-    share = F.when(F.col("p") == "other", F.col("url")).otherwise(F.col("share_id").cast("string"))
-    rows = rows.select("resource_id", F.col("p").alias("provider"), share.alias("share_id"), "url", "seen_count", "first_seen", "last_seen", F.lit(None).cast("long").alias("size"))
+    rows = c.spark.sql(f"SELECT {_SHARES} FROM (SELECT {_URLS} FROM {{r}})".replace("//", "div").replace("https:div", "https://"), r=c.resource).drop("n")
     out = flows.cleanup_resources(rows, c.bridge)
     seasons = out["bridge"].groupBy("resource_id").agg(F.count("*").alias("seasons"))
-    return out["resources"].join(seasons, "resource_id", "left").select("resource_id", "provider", "share_id", "seen_count", "first_seen", "last_seen", F.coalesce("seasons", F.lit(0)).alias("seasons"))
+    return out["resources"].join(seasons, "resource_id", "left").select(*rows.columns, F.coalesce("seasons", F.lit(0)).alias("seasons"))
+
+
+@query(
+    "cleanup_resources_counts",
+    f"""+ r AS (SELECT {_SHARES} FROM (SELECT {_URLS} FROM resource)),
+    k AS (SELECT *, provider = 'other' AND url LIKE '%ctfile%' AS found, provider = 'other' AND url LIKE '%t.me%' AS page, CASE WHEN provider = 'other' AND url LIKE '%ctfile%' THEN substr(url, 26) ELSE share_id END AS s FROM r),
+    t AS (SELECT *, CASE WHEN found OR provider = 'ctfile' THEN first_value(resource_id) OVER (PARTITION BY found OR provider = 'ctfile', s ORDER BY found, resource_id) ELSE resource_id END AS target FROM k),
+    e AS (SELECT resource_id FROM t WHERE target <> resource_id OR page UNION SELECT target FROM t WHERE target <> resource_id)
+    SELECT media_id, count(DISTINCT target) FILTER (NOT page) AS resource_count FROM bridge JOIN t USING (resource_id)
+    WHERE media_id IN (SELECT media_id FROM bridge JOIN e USING (resource_id)) GROUP BY media_id""",
+    "resource", "bridge",
+)
+def cleanup_resources_counts(c: Catalog) -> DataFrame:
+    rows = c.spark.sql(f"SELECT {_SHARES} FROM (SELECT {_URLS} FROM {{r}})".replace("//", "div").replace("https:div", "https://"), r=c.resource).drop("n")
+    return flows.cleanup_resources(rows, c.bridge)["counts"]
 
 
 @query(

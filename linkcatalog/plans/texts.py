@@ -136,6 +136,47 @@ def rule_items(c: Catalog) -> DataFrame:
     return rows.select("doc_id", "place", "title", "norm_key", "year", "media_type", "quality", "size_bytes", F.size("links").alias("n_links"))
 
 
+_LETTERS = "translate(substr(md5(text), {}, 5), '0123456789', 'qrstuvwxyz')"
+#: Posts of each document in the four ways in which posts name their works, by its language.
+_SHAPES = {
+    "en": "名称：剧{a}|夸克：{q}|名称：片{b} 全40集|阿里：{p}",
+    "fr": "【剧{a}】|{q}||## [片{b}]|{p}",
+    "de": "1. 剧{a}|大小：2GB|{q}|2、片{b} 全40集|{p}",
+    "es": "剧{a}|大小：2GB|{q}||片{b}|大小：3GB|{p}",
+}
+
+
+def _shape(text: str) -> str:
+    parts = {"a": _LETTERS.format(1), "b": _LETTERS.format(6), "q": "'https://pan.quark.cn/s/' || substr(md5(text), 1, 12)", "p": "'https://www.alipan.com/s/' || substr(md5(text), 13, 11)"}
+    for k, sql in parts.items():
+        text = text.replace("{" + k + "}", f"' || {sql} || '")
+    return "'" + text.replace("|' ||", "' ||").replace("|| '|", "|| '") + "'"
+
+
+def _shaped(newline: str) -> str:
+    cases = []
+    for lang, text in _SHAPES.items():
+        pieces = [x for line in text.split("|") for x in (line, None)][:-1]
+        sql = " || ".join(newline if x is None else _shape(x) for x in pieces)
+        cases.append(f"WHEN '{lang}' THEN {sql}")
+    return f"CASE lang {' '.join(cases)} END"
+
+
+@query(
+    "post_items",
+    f"""WITH d AS (SELECT doc_id, lang, {_LETTERS.format(1)} AS a, {_LETTERS.format(6)} AS b FROM documents),
+    i AS (SELECT doc_id, 0 AS k, '剧' || a AS title, 'quark' AS provider, CASE WHEN lang IN ('de', 'es') THEN 2147483648 END AS size_bytes, 'unknown' AS media_type, NULL AS episode_info FROM d
+      UNION ALL SELECT doc_id, 1, '片' || b, 'alipan', CASE WHEN lang = 'es' THEN 3221225472 END, CASE WHEN lang IN ('en', 'de') THEN 'tv' ELSE 'unknown' END, CASE WHEN lang IN ('en', 'de') THEN '全40集' END FROM d)
+    SELECT doc_id, title, title AS norm_key, provider, CAST(size_bytes AS BIGINT) AS size_bytes, media_type, episode_info,
+      CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS place FROM i WHERE title NOT LIKE '%exe%'""",
+)
+def post_items(c: Catalog) -> DataFrame:
+    """Posts in four shapes (named, headed, numbered, by paragraphs), each with two works and their links."""
+    posts = c.spark.sql(f"SELECT doc_id, {_shaped('char(10)')} AS post FROM {{d}}", d=c.raw("documents"))
+    rows = extract.items(extract.extract(posts, "post"), "doc_id").where(F.size("links") > 0)
+    return rows.select("doc_id", "place", "title", "norm_key", F.array_join("links.provider", ",").alias("provider"), "size_bytes", "media_type", "episode_info")
+
+
 @query("sheet_fields", "SELECT p_partkey AS row_id, p_name AS title, p_brand AS brand, p_size AS size FROM part")
 def sheet_fields(c: Catalog) -> DataFrame:
     row = F.concat_ws("\n", F.concat(F.lit("片名："), "p_name"), F.concat(F.lit("品牌: "), "p_brand"), F.concat(F.lit(" 数量 ：  "), F.col("p_size").cast("string")))

@@ -1,4 +1,4 @@
-"""Queries over literal inputs whose results are known: every text function, parser and extractor once."""
+"""Inputs whose results are known, as SQL beside the plans: every text function, parser and extractor."""
 
 from __future__ import annotations
 

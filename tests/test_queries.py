@@ -1,6 +1,7 @@
 import pytest
 
 from linkcatalog.plans import registry
+from tests import cases
 
 SQL = registry.oracle_sql()
 
@@ -15,6 +16,11 @@ def test_query_without_sql_has_rows(spark, data, name):
     assert registry.queries()[name](spark, data).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(cases.SQL))
+def test_known_cases(same, name):
+    same(cases.QUERIES[name], cases.SQL[name])
+
+
 def test_entry(spark, data):
     import __spark_entry__ as e
 
