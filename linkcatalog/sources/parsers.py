@@ -16,6 +16,10 @@ from xml.etree import ElementTree
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkcatalog.functions import links as L
+from linkcatalog.functions import titles
+from linkcatalog.functions.text import let, strip
+
 MESSAGE = "array<struct<message_id:string,text:string,published_at:string,url:string>>"
 
 
@@ -403,36 +407,37 @@ def torrent_magnet(body: bytes) -> str | None:
     return None
 
 
-def _collection(text: str, links: list) -> str | None:
-    from linkcatalog.functions import links as L
-    from linkcatalog.functions import titles as T
-
-    blocks: list[tuple[str, list[str]]] = []
-    at = 0
-    for line in text.split("\n"):
-        own = {(x["provider"], x["share_id"]): x["url"] for x in reversed(links) if at <= x["start"] < at + len(line)}
-        m = L.NUMBERED.match(line) or L.HEADING.match(line)
-        if m and not own:
-            blocks.append((T.strip_title_marker(m[1].strip()), []))
-        elif blocks:
-            blocks[-1][1].extend(reversed(own.values()))
-        at += len(line) + 1
-    if len(blocks) < 2:
-        return None
-    if sum(bool(u) for _, u in blocks) >= 2:
-        return "\n".join("\n".join((f"名称：{t}", *u)) for t, u in blocks)
-    every = dict.fromkeys((x["provider"], x["share_id"]) for x in links)
-    first = {(x["provider"], x["share_id"]): x["url"] for x in reversed(links)}
-    return "\n".join([*(f"名称：{t}" for t, _ in blocks), "合集资源：", *(first[k] for k in every)])
-
-
 def collection_text(text: Column) -> Column:
     """A post of several titles as named blocks: each title with the links up to the next, or, if
     fewer than two have links of their own, all links in a shared block; null for fewer than two."""
-    from linkcatalog.functions import links as L
-
-    run = F.udf(lambda x, found: None if x is None else _collection(x, L.as_dicts(found)), "string", useArrow=True)
-    return run(text, L.scan_links(text, once=False))
+    key = lambda x: F.struct(x["provider"].alias("p"), x["share_id"].alias("s"))
+    once = lambda found: F.filter(found, lambda x, i: F.array_position(F.transform(found, key), key(x)) == i + 1)
+    urls = lambda found: F.transform(let(found, once), lambda x: x["url"])
+
+    def of_rows(rows: Column, links: Column) -> Column:
+        def row(r: Column, i: Column) -> Column:
+            own = F.slice(links, r["met"] + 1, F.coalesce(F.get(rows, i + 1)["met"], F.size(links)) - r["met"])
+            titled = [F.when(r["line"].rlike(form), titles.strip_title_marker(strip(F.regexp_extract(r["line"], form, 1)))) for form in (L.NUMBERED, L.HEADING)]
+            return let(own, lambda own: F.struct(i.alias("i"), F.when(F.size(own) == 0, F.coalesce(*titled)).alias("title"), urls(own).alias("urls")))
+
+        def of_lines(lines: Column) -> Column:
+            opens = F.filter(lines, lambda x: x["title"].isNotNull())
+            block = lambda opens: F.transform(opens, lambda o, k: F.struct(
+                F.concat(F.lit("名称："), o["title"]).alias("named"),
+                F.flatten(F.transform(F.slice(lines, o["i"] + 1, F.coalesce(F.get(opens, k + 1)["i"], F.size(lines)) - o["i"]), lambda x: x["urls"])).alias("urls"),
+            ))
+
+            def of_blocks(blocks: Column) -> Column:
+                each = F.flatten(F.transform(blocks, lambda b: F.concat(F.array(b["named"]), b["urls"])))
+                shared = F.concat(F.transform(blocks, lambda b: b["named"]), F.array(F.lit("合集资源：")), urls(links))
+                linked = F.size(F.filter(blocks, lambda b: F.size(b["urls"]) > 0)) >= 2
+                return F.when(F.size(blocks) >= 2, F.array_join(F.when(linked, each).otherwise(shared), "\n"))
+
+            return let(let(opens, block), of_blocks)
+
+        return let(F.transform(rows, row), of_lines)
+
+    return let(L.scan_links(text, once=False), lambda links: let(L.line_rows(text, links), lambda rows: of_rows(rows, links)))
 
 
 #: Source types with the forms of their addresses, in the order in which they are asked.
