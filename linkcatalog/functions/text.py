@@ -123,18 +123,43 @@ def nfkc(x: Column) -> Column:
     return program(x, nfkc_steps())
 
 
-def running_sums(x: Column) -> Column:
-    """The sums of an array of integers up to each place, itself included: in round k each place takes up what stands
+def _running(x: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What an array of numbers comes to up to each place, itself included: in round k each place takes up what stands
     2**k places before, so that n numbers need n log n steps and no array grows."""
 
     def rounds(all_of: Column) -> Column:
         by = F.filter(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda by: by < F.size(all_of))
-        more = lambda a, by: F.transform(a, lambda v, i: v + F.when(i >= by, F.get(a, i - by)).otherwise(F.lit(0)))
+        more = lambda a, by: F.transform(a, lambda v, i: F.when(i >= by, combine(v, F.get(a, i - by))).otherwise(v))
         return F.aggregate(by, all_of, more)
 
     return let(x, rounds)
 
 
+def running_sums(x: Column) -> Column:
+    return _running(x, lambda a, b: a + b)
+
+
+def running_max(x: Column) -> Column:
+    return _running(x, F.greatest)
+
+
+#: Characters of the blocks by which :func:`part` finds its place.
+BLOCK = 4096
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: Column, at: Column, n: Column) -> Column:
+    """The ``n`` characters of a text (:func:`blocks`) from ``at`` on; what stands far before is not walked through."""
+    first = F.floor(at / BLOCK).cast("int")
+    last = F.floor((at + n - 1) / BLOCK).cast("int")
+    whole = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(n > 0, F.substr(whole, at - first * BLOCK + 1, n)).otherwise(F.lit(""))
+
+
 def places(gaps: Column, found: Column) -> Column:
     """Where each match starts, from what stands before each (``gaps``, one more than matches) and the matches."""
     sizes = F.transform(found, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))
