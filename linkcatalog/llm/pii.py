@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkcatalog.functions.text import blocks, let, part, places, running_max
+
 from .common import table
 
 #: The base kinds in their order, with patterns in possessive form. A possessive
@@ -103,48 +105,54 @@ def _matches(kind: str, text, pattern: str):
     )
 
 
-def _spans(kind: str, m, text):
+#: Matches of a kind, of four characters at least, that can lie within CONTEXT characters, and one more.
+_NEAR = CONTEXT // 4 + 1
+
+
+def _spans(kind: str, m):
     """array<struct<kind, start, end, x, before, after>>; before and after are the CONTEXT characters of the
-    whole text, lower-cased, on each side of a match."""
-    gaps, found = m["gaps"], m["found"]
-    last = lambda *x: F.right(F.concat(*x), F.lit(CONTEXT))
-    first = lambda *x: F.left(F.concat(*x), F.lit(CONTEXT))
-    # from the end: (text from the match on, what follows each match)
-    behind = F.arrays_zip(F.reverse(F.slice(gaps, F.lit(2), F.size(found))).alias("g"), F.reverse(found).alias("x"))
-    after = F.aggregate(
-        behind,
-        F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out")),
-        lambda a, p: F.struct(
-            first(p["x"], p["g"], a["head"]).alias("head"), F.concat(a["out"], F.array(first(p["g"], a["head"]))).alias("out")
-        ),
-        lambda a: F.reverse(a["out"]),
-    )
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("x"), after.alias("after"))
-    # one fold: (place reached, text up to there, spans so far) over (gap, match)
+    whole text, lower-cased, on each side of a match. Places come from running sums of the lengths, contexts
+    from the few matches and gaps that are near."""
+    reach = F.lit(CONTEXT)
+    first, last = (lambda x: F.left(x, reach)), (lambda x: F.right(x, reach))
+
+    def of(gaps, found):
+        ahead = F.transform(found, lambda _, i: F.concat(first(F.get(gaps, i + 1)), first(F.coalesce(F.get(found, i + 1), F.lit("")))))
+        behind = F.transform(found, lambda _, i: F.concat(last(F.coalesce(F.get(found, i - 1), F.lit(""))), last(F.get(gaps, i))))
+        near = F.struct(places(gaps, found).alias("at"), ahead.alias("ahead"), behind.alias("behind"))
+
+        def span(near, x, i):
+            since = F.greatest(i - _NEAR + 2, F.lit(1))
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"), F.get(near["at"], i).alias("start"), (F.get(near["at"], i) + F.length(x)).alias("end"), x.alias("x"),
+                F.lower(last(F.array_join(F.slice(near["behind"], since, i - since + 2), ""))).alias("before"),
+                F.lower(first(F.array_join(F.slice(near["ahead"], i + 1, F.lit(_NEAR)), ""))).alias("after"),
+            )
+
+        return let(near, lambda near: F.transform(found, lambda x, i: span(near, x, i)))
+
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,x:string,before:string,after:string>>")
-    folded = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["g"]) + F.length(p["x"])).alias("at"),
-            last(a["tail"], p["g"], p["x"]).alias("tail"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        F.lit(KINDS.index(kind)).alias("kind"),
-                        (a["at"] + F.length(p["g"])).alias("start"),
-                        (a["at"] + F.length(p["g"]) + F.length(p["x"])).alias("end"),
-                        p["x"].alias("x"),
-                        F.lower(last(a["tail"], p["g"])).alias("before"),
-                        F.lower(p["after"]).alias("after"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
+    spans = let(m, lambda m: F.when(F.size(m["found"]) > 0, of(m["gaps"], m["found"])))
+    return F.coalesce(spans, empty)
+
+
+def _apart(base, added):
+    """The spans of ``added`` that no span of ``base`` overlaps: both are sorted into one order, in which the furthest
+    end of the base spans so far tells."""
+    kinds = "array<struct<pos:int,side:int,end:int,own:struct<start:int,kind:int,end:int,score:double>>>"
+    marks = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("pos"), F.lit(1).alias("side"), b["end"].alias("end"), F.lit(None).alias("own"))).cast(kinds),
+            F.transform(added, lambda a: F.struct(a["end"].alias("pos"), F.lit(0).alias("side"), F.lit(0).alias("end"), a.alias("own"))).cast(kinds),
+        )
     )
-    return F.coalesce(F.when(F.size(found) > 0, folded), empty)
+
+    def of(marks):
+        ends = running_max(F.transform(marks, lambda k: k["end"]))
+        free = F.filter(F.zip_with(marks, ends, lambda k, end: F.struct(k["own"].alias("own"), end.alias("end"))), lambda k: k["own"].isNotNull() & (k["end"] <= k["own"]["start"]))
+        return F.transform(free, lambda k: k["own"])
+
+    return F.when(F.size(added) > 0, let(marks, of)).otherwise(added)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -160,7 +168,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     out = docs.select(F.struct(*docs.columns).alias("row"))
     out = out.select("row", *[_matches(k, text, p).alias(f"m_{k}") for k, p in (BASE | ADDED).items()])
-    out = out.select("row", *[_spans(k, F.col(f"m_{k}"), text).alias(f"s_{k}") for k in KINDS])
+    out = out.select("row", *[_spans(k, F.col(f"m_{k}")).alias(f"s_{k}") for k in KINDS])
 
     def scored(kind: str):
         score, words = SCORES[kind]
@@ -175,13 +183,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     added = F.filter(F.concat(*[scored(k) for k in ADDED]), lambda s: s["score"] >= MIN_SCORE)
     out = out.select("row", F.array_sort(F.concat(*[scored(k) for k in BASE])).alias("base"), added.alias("added"))
-    free = F.when(
-        F.size(F.col("added")) > 0,
-        F.filter(
-            F.col("added"),
-            lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-        ),
-    ).otherwise(F.col("added"))
+    free = let(F.struct("base", "added"), lambda x: _apart(x["base"], x["added"]))
     return out.select("row", F.array_sort(F.concat("base", free)).alias("pii"), "base")
 
 
@@ -199,19 +201,23 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = find_pii(docs, text_col)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("row")[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    parts = F.aggregate(
-        F.col("pii"),
-        start,
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= a["at"],
-                F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["kind"] + 1))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)),
-    )
+
+    def replaced(x):
+        spans, cut = x["pii"], x["blocks"]
+        # how far the spans before each reach
+        reached = F.transform(spans, lambda s: s["end"])
+
+        def joined(reached):
+            def piece(s, i):
+                at = F.when(i > 0, F.get(reached, i - 1)).otherwise(F.lit(0))
+                return F.when(s["start"] >= at, F.concat(part(cut, at, s["start"] - at), F.element_at(names, s["kind"] + 1))).otherwise(F.lit(""))
+
+            end = F.element_at(reached, -1)
+            return F.concat(F.array_join(F.transform(spans, piece), ""), part(cut, end, x["size"] - end))
+
+        return let(running_max(reached), joined)
+
+    parts = let(F.struct(F.col("pii"), blocks(text).alias("blocks"), F.length(text).alias("size")), replaced)
     clean = F.when(F.size("pii") > 0, parts).otherwise(text).alias(text_col)
     return found.select(*[clean if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 

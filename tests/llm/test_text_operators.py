@@ -353,3 +353,22 @@ def test_license_rules_are_hundreds_with_keywords():
     for _, label, keyword, pattern in SIGNATURES:
         for branch in re.split(r"\|(?![^()]*\))", pattern):
             assert keyword in f" {sample(branch)} ", (label, keyword, branch)
+
+
+def test_pii_grows_with_its_matches(spark):
+    """Four times the matches take about four times as long, and all are found and replaced."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"user{k:05d}@mail.example.org é" for k in range(n)) + " call 555 123 4567"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        (x,) = pii.pii_report(df).collect()
+        assert x["n_email"] == n and x["spans"].endswith(f"number:{len(text) - 12}:{len(text)}")
+        (clean,) = pii.redact(df).collect()
+        assert clean["text"] == "[EMAIL] é " * n + "call [NUMBER]"
+        began = time.perf_counter()
+        pii.pii_report(df).collect()
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 9 * max(seconds(4000), 0.7)
