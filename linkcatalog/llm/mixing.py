@@ -147,9 +147,10 @@ def mix_plan(
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, whole, each as often as the mix takes it (0 to ``most`` times), in the
-    order of the schedule: a copy stands where the schedule has the block of its middle word.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position: str | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, whole, each as often as the mix takes it (0 to ``most`` times). A copy stands where the
+    schedule has the block of its middle word: ``position`` names a column for that place, by which a reader
+    sorts who wants the mix's order. Rows come in no order, as files keep none.
 
     Rows that agree in id, source and text share one list of places. Columns stay as they are,
     whatever their names.
@@ -165,8 +166,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).alias("o")
     plan = plan.where("most.copies > 0").alias("p")
     joined = own.join(plan, [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("id", "src", "crc")])
-    repeated = joined.select("o.row", "o.id", "o.src", "o.crc", F.explode("p.most.places").alias("at"))
-    return repeated.orderBy("at", F.xxhash64("id", "src", "crc")).select("row.*")
+    repeated = joined.select("o.row", F.explode("p.most.places").alias("at"))
+    return repeated.select("row.*", *([F.col("at").alias(position)] if position else []))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +178,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '::11') AS h,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 w AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM per),
 f AS (SELECT *, cap / w AS fullness FROM w),

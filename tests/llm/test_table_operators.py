@@ -404,19 +404,32 @@ def test_mixing_gives_the_order_of_the_schedule(spark):
             at[p].add(x["source"])
     assert all(len(sources) == 1 for sources in at.values())  # a slot takes a block of one source
     assert len(at) >= sum(x["taken"] for x in plan.values()) // mixing.BLOCK
-    out = [(x["doc_id"], x["source"]) for x in mixing.mix_documents(docs).collect()]
+    placed = sorted((x["at"], x["doc_id"], x["source"]) for x in mixing.mix_documents(docs, position="at").collect())
+    out = [(i, s) for _, i, s in placed]
     assert Counter(i for i, _ in out) == Counter({i: x["copies"] for i, x in plan.items() if x["copies"]})
-    seen, order = Counter(), []
-    for i, _ in out:
-        order.append(plan[i]["places"][seen[i]])
-        seen[i] += 1
-    assert order == sorted(order)
+    for i, x in plan.items():
+        assert [p for p, j, _ in placed if j == i] == x["places"]
     words = lambda rows: {s: sum(plan[i]["size"] for i, t in rows if t == s) for s in "abc"}
     half, whole = words(out[: len(out) // 2]), words(out)
     for s in "abc":
         assert abs(half[s] / sum(half.values()) - whole[s] / sum(whole.values())) < 0.06
 
 
+def test_mixing_sql_counts_the_same_words(spark, tmp_path):
+    """All six kinds of white space part words, others don't."""
+    import duckdb
+
+    from tests.conftest import rows_of
+
+    rows = [(k, "abc"[k % 3], f"a{c}b{c}{c}c d\u00a0e\x1cf\x85g" * (k % 4)) for k, c in enumerate(" \t\n\x0b\x0c\r\u2028\x1f" * 6)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = mixing.op7_source_mixing(spark, str(tmp_path)).toArrow(), con.execute(mixing.OP7_SQL).to_arrow_table()
+    assert rows_of(got) == rows_of(want)
+    assert {x["doc_id"]: x["size"] for x in got.to_pylist()} == {i: len(WORDS.findall(t)) for i, _, t in rows}
+
+
 def test_crf_forward_backward_equals_enumeration():
     import itertools
 
