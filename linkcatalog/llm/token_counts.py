@@ -14,8 +14,10 @@ from .common import table
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that one call of the library gets, about.
 CALL_BYTES = 1 << 18
-#: Pieces whose lengths a task keeps, at most; then it starts anew.
-KEPT = 500_000
+#: Characters of texts whose new pieces are encoded together, about.
+GROUP = 1 << 20
+#: Pieces whose lengths a task keeps, and characters of them, at most; then it starts anew. Longer pieces than LONG aren't kept.
+KEPT, KEPT_CHARS = 400_000, 8 << 20
 #: White space is dropped by this vocabulary's splitter and joins with nothing, neither in
 #: normal forms nor in special tokens: a text's count is the sum over its pieces between.
 _PIECES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,6 +83,18 @@ def _balanced(new: list[str]) -> Iterator[list[str]]:
         yield held
 
 
+def _groups(column: pa.Array) -> Iterator[list[str]]:
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py() or "")
+        size += len(held[-1])
+        if size >= GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def count_tokens(
     docs: DataFrame, limit: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -88,8 +102,9 @@ def count_tokens(
 
     n_tokens is what the tokenizers library gives for the whole text without added special
     tokens, truncation or padding; special strings inside a text count as the library takes
-    them. Texts are split at ASCII white space; a task encodes each piece that it meets for the
-    first time, in byte-balanced batches, keeps its length, and adds lengths up. Runs of more than LONG
+    them. Texts are split at ASCII white space; the pieces of a group of texts that a task meets for the
+    first time go to the library in calls of CALL_BYTES each, pieces of like length together; their lengths
+    are kept and added up. Runs of more than LONG
     characters without white space are cut around digits.
 
     Null or empty text: 0 bytes, 0 tokens. Null ids, ties and repeated rows: each row is counted by
@@ -99,20 +114,25 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _open(path)
         known: dict[str, int] = {}
+        room = 0
         for batch in batches:
             sizes, counts = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                own = cut_long(pieces(text))
-                if new := list(set(own).difference(known)):
-                    if len(known) + len(new) > KEPT:
-                        known.clear()
-                        new = list(set(own))
-                    for call in _balanced(new):
-                        for x, e in zip(call, tokenizer.encode_batch_fast(call, add_special_tokens=False)):
-                            known[x] = len(e)
-                sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                counts.append(sum(map(known.__getitem__, own)))
+            for texts in _groups(batch.column(1)):
+                split = [cut_long(pieces(text)) for text in texts]
+                wanted = {x for own in split for x in own}
+                new = [x for x in wanted if x not in known]
+                if len(known) + len(new) > KEPT or room > KEPT_CHARS:
+                    known, room, new = {}, 0, list(wanted)
+                for call in _balanced(new):
+                    for x, e in zip(call, tokenizer.encode_batch_fast(call, add_special_tokens=False)):
+                        known[x] = len(e)
+                sizes += [len(text.encode("utf-8", "surrogatepass")) for text in texts]
+                counts += [sum(map(known.__getitem__, own)) for own in split]
+                for x in new:
+                    if len(x) > LONG:
+                        del known[x]
+                    else:
+                        room += len(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -372,3 +372,19 @@ def test_pii_grows_with_its_matches(spark):
 
     seconds(500)
     assert seconds(16_000) < 9 * max(seconds(4000), 0.7)
+
+
+def test_token_counts_fill_their_calls(spark, monkeypatch):
+    """New pieces of many texts share calls, whose sizes are alike but for the last; full caches change nothing."""
+    import pyarrow as pa
+
+    texts = [f"word{k} other{k % 7} {'x' * (k % 50)}" for k in range(4000)] + ["y" * 9000, None]
+    new = list({x for t in texts for x in token_counts.cut_long(token_counts.pieces(t or ""))})
+    calls = [sum(len(x) + 8 for x in call) for call in token_counts._balanced(new)]
+    assert min(calls[:-1], default=token_counts.CALL_BYTES) >= token_counts.CALL_BYTES
+    assert sum(len(g) for g in token_counts._groups(pa.array(texts))) == len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = sorted(map(tuple, token_counts.count_tokens(df).collect()))
+    for name, value in (("KEPT", 10), ("GROUP", 100), ("CALL_BYTES", 64)):
+        monkeypatch.setattr(token_counts, name, value)
+    assert sorted(map(tuple, token_counts.count_tokens(df).collect())) == want
