@@ -14,7 +14,8 @@ from linkcatalog.plans.entities import Catalog, seconds_duck, seconds_spark, wit
 from linkcatalog.plans.flows import _PLANS, _repairs
 from linkcatalog.storage import new_path
 from linkcatalog.store import Put, Store
-from linkcatalog.streaming import collect_job
+from linkcatalog.streaming import check_timers, collect_job
+from linkcatalog.streaming.jobs import drain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -374,3 +375,39 @@ def reset_tables(c: Catalog) -> DataFrame:
     store.restore(report.snapshot)
     rows = [(n, report.before[n], report.after[n], pending if n == "document_queue" else 0, store.read(n).count()) for n in tables]
     return c.spark.createDataFrame(rows, "name string, before long, after long, requeued long, restored long")
+
+
+# --- the check machine with claims and timers: events in three files, dealt without regard to time ---
+
+_CLAIMS = "CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'view' THEN 'valid' WHEN 'signup' THEN 'invalid' WHEN 'click' THEN 'checking' ELSE 'error' END"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(
+    "stream_check_timers",
+    f"""WITH e AS (SELECT user_id AS link, event_id AS check_id, {seconds_duck("seconds(ts)")} AS checked_at, {_CLAIMS} AS status FROM events),
+    a AS (SELECT *, sum(CASE WHEN status = 'checking' THEN 0 ELSE 1 END) OVER (PARTITION BY link ORDER BY checked_at, check_id) - CASE WHEN status = 'checking' THEN 0 ELSE 1 END AS part FROM e),
+    p AS (SELECT link, part, count(*) FILTER (status = 'checking') AS claims, max(status) FILTER (status <> 'checking') AS result FROM a GROUP BY link, part),
+    b AS (SELECT *, lag(result) OVER (PARTITION BY link ORDER BY part) AS prev, claims >= 2 AS lost FROM p),
+    d AS (SELECT *, CASE WHEN result IS NULL OR lost THEN greatest(claims - 1, 0) ELSE 1 END AS more, CASE WHEN result IS NOT NULL AND NOT lost AND result IS DISTINCT FROM prev THEN 1 ELSE 0 END AS anew FROM b),
+    r AS (SELECT *, sum(anew) OVER (PARTITION BY link ORDER BY part) AS run FROM d),
+    n AS (SELECT *, sum(more) OVER (PARTITION BY link, run ORDER BY part) AS attempts, row_number() OVER (PARTITION BY link ORDER BY part DESC) AS back FROM r)
+    SELECT link, (SELECT count(*) FROM e WHERE e.link = n.link) AS checks, max(coalesce(result, 'checking')) FILTER (back = 1) AS status, CAST(max(attempts) FILTER (back = 1) AS INTEGER) AS attempts,
+      CAST(count(*) FILTER (result IS NOT NULL AND (result = 'valid') <> (NOT lost AND coalesce(prev, '') = 'valid')) AS INTEGER) AS flips FROM n GROUP BY link""",
+)
+def stream_check_timers(c: Catalog) -> DataFrame:
+    spark, at = c.spark, new_path(c.spark, "timers")
+    rows = c.raw("events").selectExpr("user_id AS link", "event_id AS check_id", f"{seconds_spark('seconds(ts)')} AS checked_at", f"{_CLAIMS} AS status", "md5(CAST(event_id AS STRING)) AS h")
+    rows = rows.withColumn("h", F.substr("h", F.lit(1), F.lit(1)))
+    for n, some in enumerate(("h < '5'", "h >= '5' and h < 'a'", "h >= 'a'")):
+        rows.where(some).drop("h").coalesce(1).write.parquet(f"{at}/batch={n}")
+    schema = "link long, check_id long, checked_at long, status string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/*").withColumn("at", F.timestamp_seconds("checked_at"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    try:
+        out = drain(check_timers.check_timers(stream, "4000 days"), "timers", "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = out.groupBy("link").agg(F.max_by(F.struct("checks", "status", "attempts", "flips"), "checks").alias("x"))
+    return last.select("link", "x.*")
