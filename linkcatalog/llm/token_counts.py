@@ -13,7 +13,7 @@ from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that one call of the library gets, about.
-CALL_BYTES = 1 << 18
+CALL_BYTES = 1 << 16
 #: Characters of texts whose new pieces are encoded together, about.
 GROUP = 1 << 20
 #: Pieces whose lengths a task keeps, and characters of them, at most; then it starts anew. Longer pieces than LONG aren't kept.
@@ -119,20 +119,18 @@ def count_tokens(
             sizes, counts = [], []
             for texts in _groups(batch.column(1)):
                 split = [cut_long(pieces(text)) for text in texts]
-                wanted = {x for own in split for x in own}
-                new = [x for x in wanted if x not in known]
+                wanted = set().union(*split)
+                new = list(wanted.difference(known))
                 if len(known) + len(new) > KEPT or room > KEPT_CHARS:
                     known, room, new = {}, 0, list(wanted)
                 for call in _balanced(new):
-                    for x, e in zip(call, tokenizer.encode_batch_fast(call, add_special_tokens=False)):
-                        known[x] = len(e)
+                    known.update(zip(call, map(len, tokenizer.encode_batch_fast(call, add_special_tokens=False))))
                 sizes += [len(text.encode("utf-8", "surrogatepass")) for text in texts]
                 counts += [sum(map(known.__getitem__, own)) for own in split]
-                for x in new:
-                    if len(x) > LONG:
-                        del known[x]
-                    else:
-                        room += len(x)
+                room += sum(map(len, new))
+                while new and len(new[-1]) > LONG:  # they stand last, by their length
+                    room -= len(new[-1])
+                    del known[new.pop()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
