@@ -79,9 +79,8 @@ def media_type_guess(c: Catalog) -> DataFrame:
 
 @query("title_keys")
 def title_keys(c: Catalog) -> DataFrame:
-    title = F.regexp_extract("post", "名称：([^\n]*)", 1)
-    names = ("clean_title", "norm_key", "series_norm_key", "block_key", "extract_season", "is_junk_media_title")
-    return _posts(c).select("doc_id", *[titles.call(n, title).alias(n) for n in names])
+    rows = _posts(c).select("doc_id", F.regexp_extract("post", "名称：([^\n]*)", 1).alias("title"))
+    return titles.with_keys(rows, "title").drop("title")
 
 
 @query("title_series_key", """SELECT doc_id, '剧' || s AS norm_key FROM (SELECT doc_id, translate(substr(md5(text), 1, 6), '0123456789', 'ghijklmnop') AS s FROM documents)""")
