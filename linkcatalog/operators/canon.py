@@ -147,7 +147,7 @@ def build_catalogue(extracted: DataFrame, doc: str) -> dict[str, DataFrame]:
     media = items.groupBy("media_key", "series_key", "season").agg(*described, F.array_sort(F.collect_set("title")).alias("titles"))
     media = media.withColumn("aliases", F.array_except("titles", F.array("title"))).drop("titles")
     linked = items.select(doc, "media_key", F.explode("links").alias("x"))
-    loose = extracted.select(doc, F.lit(None).cast("string").alias("media_key"), F.explode("outcome.unattributed").alias("x"))
+    loose = extracted.select(doc, F.lit(None).cast("string").alias("media_key"), F.explode_outer("outcome.unattributed").alias("x")).where("x is not null")
     mention = linked.unionByName(loose).select(doc, "media_key", "x.provider", "x.share_id", "x.url", "x.passcode")
     per_doc = mention.groupBy("provider", "share_id", doc).agg(F.min("url").alias("url"), F.min("passcode").alias("passcode"))
     resources = per_doc.groupBy("provider", "share_id").agg(

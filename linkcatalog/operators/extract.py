@@ -227,8 +227,10 @@ def extract(docs: DataFrame, text: str = "text", source_type: str | None = None,
 
 
 def items(extracted: DataFrame, *keys: str) -> DataFrame:
-    """One row per item with its place in the document."""
-    return extracted.select(*keys, F.posexplode("outcome.items").alias("place", "item")).select(*keys, "place", "item.*")
+    """One row per item with its place in the document. The outer form keeps Spark from filtering documents by their
+    number of items first, for which it would extract them once more."""
+    each = extracted.select(*keys, F.posexplode_outer("outcome.items").alias("place", "item")).where("place is not null")
+    return each.select(*keys, "place", "item.*")
 
 
 # --- probes ---------------------------------------------------------------
