@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkcatalog.operators import identity
+from linkcatalog.storage import stored
 from linkcatalog.store import Change, Remove, Store, Upsert, Version
 
 DELETE, RETITLE, REHOME = "delete", "retitle", "rehome"
@@ -65,14 +66,31 @@ def retitle_batch(own: DataFrame, media: DataFrame, now: int) -> dict[str, Chang
     return {"media": Upsert(rows), "repair_task": Upsert(_closed(own, changed.select("t.task_id"), now))}
 
 
-def rehome_batch(own: DataFrame, media: DataFrame, bridge: DataFrame, works: DataFrame, now: int) -> dict[str, Change | list[Change]]:
+def _bound(tasks: DataFrame, media: DataFrame) -> DataFrame:
+    """The tasks whose seasons are there; one that names no season keeps the season's own."""
+    return tasks.join(media.select("media_id", F.col("season").alias("_own")), "media_id").withColumn("season", F.coalesce("season", "_own")).drop("_own")
+
+
+def _first_whole(own: DataFrame, media: DataFrame, batch: int) -> DataFrame:
+    """The first ``batch`` tasks and all others to the same targets: seasons that meet are weighed together, however
+    the tasks are dealt to batches."""
+    first = stored(own.orderBy("detected_at", "task_id").limit(batch), "repair-first")
+    goals = _bound(first, media).select("target_key", "season").distinct()
+    same = _bound(own, media).join(goals, ["target_key", "season"], "left_semi").select("task_id")
+    return stored(own.join(same.unionByName(first.select("task_id")).distinct(), "task_id", "left_semi"), "repair-batch")
+
+
+def rehome_batch(own: DataFrame, media: DataFrame, bridge: DataFrame, works: DataFrame, now: int, leaving: DataFrame | None = None) -> dict[str, Change | list[Change]]:
     """Seasons move to their targets, with their new titles. Those that meet there become one, with the links of all
     and the blanks of year and type filled; missing works are made first. Only seasons of the batch and those
-    that sit at its targets are met."""
-    alive = own.join(media.select("media_id"), "media_id", "left_semi")
+    that sit at its targets are met, less those that are ``leaving`` (media_id) by a later batch of the round."""
+    alive = _bound(own, media)
     targets = alive.select("media_id", F.col("target_key").alias("work_id"), "season")
     goals = targets.select(F.col("work_id").alias("work_key"), "season").distinct()
-    met = media.join(goals, ["work_key", "season"], "left_semi").unionByName(media.join(alive.select("media_id"), "media_id", "left_semi")).dropDuplicates(["media_id"])
+    there = media.join(goals, ["work_key", "season"], "left_semi")
+    if leaving is not None:
+        there = there.join(leaving, "media_id", "left_anti")
+    met = there.unionByName(media.join(alive.select("media_id"), "media_id", "left_semi")).dropDuplicates(["media_id"])
     held = bridge.join(met.select("media_id"), "media_id", "left_semi")
     counts = held.groupBy("media_id").agg(F.count("*").alias("links"))
     sized = met.join(counts, "media_id", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumnRenamed("work_key", "work_id")
@@ -109,7 +127,8 @@ def run_round(store: Store, now: int, limit: int | None = None, force: bool = Fa
     Tables: media (media_id, work_key, season, title, media_type, year), bridge (media_id, resource_id), work
     (work_key, title, media_type, year), repair_task (TASK). At most ``limit`` tasks of each kind; beyond the blast
     radius the whole round is refused, unless ``force``. A dry run stops behind that gate. Deletes are one
-    commit, the others one for each ``batch`` tasks. A batch that another writer got before is made anew on what
+    commit, the others one for each ``batch`` tasks; rehomes to one target stay in one batch, and what a later batch takes
+    away is not met: batches leave what one commit of all would. A batch that another writer got before is made anew on what
     that left; one that fails stays pending with those after it, and the next round takes them. Returns what the
     round found, and the tasks that it closed by kind and status.
     """
@@ -132,16 +151,17 @@ def run_round(store: Store, now: int, limit: int | None = None, force: bool = Fa
         until = place <= F.struct(*[F.lit(x).cast("long") for x in ends[kind]])
 
         def work(at: Version, kind: str = kind, until=until) -> dict[str, Change | list[Change]]:
-            own = _pending(store.read("repair_task", at), kind).where(until)
-            own = own if kind == DELETE else own.orderBy("detected_at", "task_id").limit(batch)
-            if own.isEmpty():
+            rest = _pending(store.read("repair_task", at), kind).where(until)
+            if rest.isEmpty():
                 return {}
             media = store.read("media", at)
+            own = {DELETE: lambda: rest, RETITLE: lambda: rest.orderBy("detected_at", "task_id").limit(batch), REHOME: lambda: _first_whole(rest, media, batch)}[kind]()
             if kind == DELETE:
                 return delete_batch(own, media, store.read("bridge", at), now)
             if kind == RETITLE:
                 return retitle_batch(own, media, now)
-            return rehome_batch(own, media, store.read("bridge", at), store.read("work", at), now)
+            leaving = rest.join(own.select("task_id"), "task_id", "left_anti").select("media_id")
+            return rehome_batch(own, media, store.read("bridge", at), store.read("work", at), now, leaving)
 
         while store.transact(work):
             pass
