@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkcatalog.storage import stored
 from linkcatalog.store import Remove, Store, Upsert, Version
 
 
@@ -35,8 +36,9 @@ def link_deltas(edits: Edits) -> DataFrame | None:
             parts.append(rows.select("media_id", F.lit(sign).alias("links"), (F.col("valid").cast("int") * sign).alias("valid")))
     if edits.flipped is not None:
         held = edits.links.join(edits.flipped, "resource_id")
-        if edits.removed is not None:
-            held = held.join(edits.removed.select("media_id", "resource_id"), ["media_id", "resource_id"], "left_anti")
+        if edits.removed is not None:  # of these those alone whose link flipped
+            gone = edits.removed.select("media_id", "resource_id").join(edits.flipped.select("resource_id"), "resource_id", "left_semi")
+            held = held.join(gone, ["media_id", "resource_id"], "left_anti")
         parts.append(held.select("media_id", F.lit(0).alias("links"), F.when(F.col("valid"), 1).otherwise(-1).alias("valid")))
     out = None
     for x in parts:
@@ -50,7 +52,7 @@ def changed_counts(media: DataFrame, works: DataFrame, edits: Edits) -> tuple[Da
     with a count of 0; a work counts seasons with links alone.
 
     Only edited seasons and their works are met: the counts that are stored are filtered by them, and no links
-    are read but those of flipped ones."""
+    are read but those of flipped ones. What becomes of the edited seasons is written once, for both results."""
     spark = media.sparkSession
     by = link_deltas(edits)
     by = by if by is not None else spark.createDataFrame([], "media_id long, links long, valid long")
@@ -63,6 +65,7 @@ def changed_counts(media: DataFrame, works: DataFrame, edits: Edits) -> tuple[Da
         "media_id", "from_work", F.coalesce("to_work", "from_work").alias("work_id"), "had", "had_valid",
         (F.coalesce("had", zero) + F.coalesce("links", zero)).alias("resource_count"), (F.coalesce("had_valid", zero) + F.coalesce("valid", zero)).alias("valid_count"),
     )
+    after = stored(after, "edited-seasons")
     gone = after.where("had is not null").select(F.col("from_work").alias("work_id"), F.lit(-1).alias("s"), (-F.col("had")).alias("r"), (-F.col("had_valid")).alias("v"))
     come = after.where("resource_count > 0").select("work_id", F.lit(1).alias("s"), F.col("resource_count").alias("r"), F.col("valid_count").alias("v"))
     sums = gone.unionByName(come).where("work_id is not null").groupBy("work_id").agg(F.sum("s").alias("s"), F.sum("r").alias("r"), F.sum("v").alias("v"))

@@ -12,7 +12,7 @@ from linkcatalog.operators import claims, deltas, repairs, reset
 from linkcatalog.plans.catalog import _LINKS, _QUEUE, _SOURCES as _DUE_SOURCES, NOW
 from linkcatalog.plans.entities import Catalog, seconds_duck, seconds_spark, with_entities
 from linkcatalog.plans.flows import _PLANS, _repairs
-from linkcatalog.storage import new_path
+from linkcatalog.storage import new_path, stored
 from linkcatalog.store import Put, Store
 from linkcatalog.streaming import check_timers, collect_job
 from linkcatalog.streaming.jobs import drain
@@ -287,12 +287,12 @@ def counters_incremental(c: Catalog) -> DataFrame:
     store = _store(c, "counts")
     pairs = c.mention.select("media_id", F.expr(_LINKED_BY).alias("resource_id"), "flag")
     flags = pairs.groupBy("media_id", "resource_id").agg(F.bool_or(F.col("flag") == "N").alias("new"), F.bool_or(F.col("flag") != "N").alias("old"))
-    links = c.resource.select("resource_id", F.expr(_VALID["before"]).alias("before"), F.expr(_VALID["after"]).alias("after"))
-    both = flags.join(links, "resource_id")
+    links = stored(c.resource.select("resource_id", F.expr(_VALID["before"]).alias("before"), F.expr(_VALID["after"]).alias("after")), "links")
+    both = stored(flags.join(links, "resource_id"), "pairs")
     before = both.where("old")
     counted = before.groupBy("media_id").agg(F.count("*").alias("resource_count"), F.count_if("before").alias("valid_count")).join(c.media.select("media_id", "work_id"), "media_id")
-    works = counted.groupBy("work_id").agg(F.count("*").alias("season_count"), F.sum("resource_count").alias("resource_count"), F.sum("valid_count").alias("valid_count"))
-    media = counted.select("media_id", "work_id", "resource_count", "valid_count")
+    media = stored(counted.select("media_id", "work_id", "resource_count", "valid_count"), "seasons")
+    works = media.groupBy("work_id").agg(F.count("*").alias("season_count"), F.sum("resource_count").alias("resource_count"), F.sum("valid_count").alias("valid_count"))
     store.commit(store.current(), {"media_count": Put(media, ["media_id"]), "work_count": Put(works, ["work_id"])})
     first = deltas.Edits(
         added=both.where("new and not old").select("media_id", "resource_id", F.col("after").alias("valid")),
