@@ -118,13 +118,14 @@ def _collect_sql() -> str:
 
 @query("collect_job", _collect_sql())
 def collect_all(c: Catalog) -> DataFrame:
-    """Three rounds of fetches come as files; each batch is one commit of posts, cursors, history and schedule."""
+    """Three rounds of fetches come as files, and the stream goes on with each; a round is one commit of posts, cursors, history and
+    schedule."""
     store = _store(c, "collect")
     collect_job.create(store, c.spark.sql(f"SELECT {_SOURCES} FROM {{s}}", s=c.raw("supplier")))
     for r in (1, 2, 3):
-        _fetches(c, r).coalesce(1).write.parquet(f"{store.root}/fetches/round={r}")
-    fetches = c.spark.readStream.schema(collect_job.FETCH).option("maxFilesPerTrigger", 1).parquet(f"{store.root}/fetches/*")
-    collect_job.CollectJob(store).run(fetches, f"{store.root}/state")
+        _fetches(c, r).write.parquet(f"{store.root}/fetches/round={r}")
+        fetches = c.spark.readStream.schema(collect_job.FETCH).parquet(f"{store.root}/fetches/*")
+        collect_job.CollectJob(store).run(fetches, f"{store.root}/state")
     at = store.current()
     stored = store.read("document", at).groupBy("source_id").agg(F.count("*").alias("stored"))
     sums = store.read("fetch_report", at).groupBy("source_id").agg(F.sum("duplicated").alias("duplicated"), F.sum("skipped_empty").alias("skipped_empty"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkcatalog.operators import ingest
 from linkcatalog.operators.checks import backoff
 from linkcatalog.operators.collect import DISABLE_AFTER
+from linkcatalog.storage import stored
 from linkcatalog.store import Append, Put, Store, Upsert, Version
 
 _MESSAGES = "array<struct<id:string,text:string,url:string,published_at:bigint>>"
@@ -121,30 +124,37 @@ def after_fetch(s: Column, x: Column) -> Column:
 _SOURCE_COLUMNS = [x.split()[0] for x in SOURCE.split(", ")]
 
 
+def _many(column: str, which: Callable[[Column], Column]) -> Column:
+    """How many of an array's elements are such ones."""
+    return F.coalesce(F.size(F.filter(column, which)), F.lit(0))
+
+
 def batch_changes(batch: DataFrame, sources: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     """What a batch of fetches (FETCH) changes: ``source`` rows after it, ``document`` rows to add, a ``fetch_report``.
 
     Several fetches of one source count in the order of their times. Each content is stored once, the first
     time that it comes; posts without text are skipped, but cursors pass them. Fetches of unknown sources
-    are ignored. Stored hashes are only scanned for those of the batch; texts move once, to be written.
+    are ignored. Stored hashes are only scanned for those of the batch. What is new is told by fetch and place, without
+    its hash, and written once, for all results; texts move once, with their whole fetch, to be written.
     """
     known = batch.join(sources.select("source_id"), "source_id", "left_semi")
+    fetch = ["source_id", "fetched_at"]
     posts = lambda column, kind: known.where(F.col(column).isNotNull()).select(
-        "source_id", F.lit(kind).alias("kind"), "fetched_at", F.posexplode(column).alias("place", "m")
+        *fetch, F.lit(kind).alias("kind"), F.posexplode(F.transform(column, lambda m: ingest.normalize_for_hash(F.coalesce(m["text"], F.lit(""))))).alias("place", "plain")
     )
-    both = posts("messages", 0).unionByName(posts("history.messages", 1))
-    both = both.select(F.struct("fetched_at", "source_id", "kind", "place").alias("at"), "source_id", "kind", "m.*")
-    hashed = both.select("at", "source_id", "kind", ingest.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    hashed = hashed.withColumn("content_hash", F.when(F.col("content_hash") != F.sha2(F.lit(""), 256), F.col("content_hash")))
-    first = hashed.where("content_hash is not null").groupBy("content_hash").agg(F.min("at").alias("at"))
-    stored = documents.select("content_hash").join(first.select("content_hash"), "content_hash", "left_semi")
-    new = first.join(stored, "content_hash", "left_anti")
-    outcome = hashed.join(new.select("at", F.lit(True).alias("new")), "at", "left")
-    of = lambda kind, cond=None: F.count_if((F.col("kind") == kind) & (F.lit(True) if cond is None else cond))
-    counts = outcome.groupBy("source_id").agg(
-        of(0).alias("fetched"), of(1).alias("backfilled"), of(0, F.col("new")).alias("created"), of(1, F.col("new")).alias("backfill_created"),
-        F.count_if(F.col("content_hash").isNotNull() & F.col("new").isNull()).alias("duplicated"), F.count_if(F.col("content_hash").isNull()).alias("skipped_empty"),
-    )
+    both = posts("messages", 0).unionByName(posts("history.messages", 1)).where("plain <> ''")
+    hashed = both.select(F.unhex(F.sha2("plain", 256)).alias("hash"), F.struct("fetched_at", "source_id", "kind", "place").alias("at"))
+    first = hashed.groupBy("hash").agg(F.min("at").alias("at"))
+    new = first.join(documents.select(F.unhex("content_hash").alias("hash")), "hash", "left_anti")
+    kept = new.groupBy(*[F.col(f"at.{k}").alias(k) for k in fetch]).agg(F.collect_list(F.struct("at.kind", "at.place")).alias("kept"))
+    kept = stored(kept.withColumn("created", _many("kept", lambda k: k["kind"] == 0)).withColumn("backfill_created", _many("kept", lambda k: k["kind"] == 1)), "collect-new")
+    blank = lambda m: ingest.normalize_for_hash(F.coalesce(m["text"], F.lit(""))) == ""
+    size = lambda column: F.coalesce(F.size(column), F.lit(0))
+    seen = known.select("source_id", size("messages").alias("fetched"), size("history.messages").alias("backfilled"), (_many("messages", blank) + _many("history.messages", blank)).alias("skipped_empty"))
+    seen = seen.groupBy("source_id").agg(*[F.sum(c).alias(c) for c in ("fetched", "backfilled", "skipped_empty")])
+    made = kept.groupBy("source_id").agg(*[F.sum(c).alias(c) for c in ("created", "backfill_created")])
+    counts = seen.join(made, "source_id", "left").na.fill(0, ["created", "backfill_created"])
+    counts = counts.withColumn("duplicated", F.expr("fetched + backfilled - skipped_empty - created - backfill_created"))
     steps = known.select("source_id", _summary().alias("x")).groupBy("source_id").agg(F.sort_array(F.collect_list("x.fetched_at")).alias("times"), F.collect_list("x").alias("xs"))
     # by time; maps have no order, so the fetches themselves can't be sorted
     ordered = F.transform("times", lambda t: F.filter("xs", lambda x: x["fetched_at"] == t)[0])
@@ -154,7 +164,10 @@ def batch_changes(batch: DataFrame, sources: DataFrame, documents: DataFrame) ->
     moved = {"total_collected": F.col("s.total_collected") + F.col("created"), "total_backfilled": F.col("s.total_backfilled") + F.col("backfill_created")}
     rows = ends.select(*[moved.get(c, F.col(f"s.{c}")).alias(c) for c in _SOURCE_COLUMNS])
     report = ends.select("source_id", *[c for c in counts.columns if c != "source_id"], "cursor_before", F.col("s.cursor").alias("cursor_after"), F.col("s.last_error").alias("error"))
-    created = both.join(new, "at").select("content_hash", "source_id", F.col("id").alias("message_id"), "url", "published_at", "text")
+    message = lambda k: F.when(k["kind"] == 0, F.get("messages", k["place"])).otherwise(F.get("history.messages", k["place"]))
+    created = known.select(*fetch, "messages", "history").join(kept.select(*fetch, "kept"), fetch)
+    created = created.select("source_id", F.explode_outer(F.transform("kept", message)).alias("m"))
+    created = created.select(ingest.content_hash(F.col("m.text")).alias("content_hash"), "source_id", F.col("m.id").alias("message_id"), "m.url", "m.published_at", "m.text")
     return {"source": rows, "document": created, "fetch_report": report}
 
 
