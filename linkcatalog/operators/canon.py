@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkcatalog.functions import titles
+from linkcatalog.functions.text import let
 from linkcatalog.operators import extract, identity
 
 JUNK_CONFIDENCE = 0.9
@@ -129,11 +130,23 @@ def build_catalogue(extracted: DataFrame, doc: str) -> dict[str, DataFrame]:
 
     Works by series key, seasons by (work, season); titles are the first seen (by document, place),
     further titles aliases; known types and years fill unknown ones. A link counts one mention per
-    document. Ids are hashes of the natural keys, so that reruns agree.
+    document. Ids are hashes of the natural keys, so that reruns agree. A document's items with their keys and its links of no
+    item come out of one array: behind it no filter is worked out before, so each text is extracted and keyed once.
     """
-    items = extract.items(extracted, doc)
-    items = items.withColumn("series_key", titles.call("series_norm_key", F.col("title"))).withColumn("season", F.coalesce(titles.call("extract_season", F.col("title")), F.lit(0)))
-    items = items.where("series_key <> ''").withColumn("media_key", F.concat_ws("|", "series_key", F.col("season").cast("string")))
+    told = ("title", "media_type", "year", "links", "tags")
+
+    def item(i: Column, n: Column) -> Column:
+        season = F.coalesce(titles.call("extract_season", i["title"]), F.lit(0))
+        return F.struct(n.alias("place"), *[i[c].alias(c) for c in told], titles.call("series_norm_key", i["title"]).alias("series_key"), season.alias("season"))
+
+    def parts(o: Column) -> Column:
+        items = F.transform(o["items"], item)
+        loose = F.struct(*[(o["unattributed"] if c == "links" else F.lit(None)).alias(c) for c in ("place", *told, "series_key", "season")])
+        return F.concat(items, F.array(loose))
+
+    rows = extracted.select(doc, F.explode_outer(let(F.col("outcome"), parts)).alias("x")).where("x is not null").select(doc, "x.*")
+    rows = rows.withColumn("media_key", F.when(F.col("series_key") != "", F.concat_ws("|", "series_key", F.col("season").cast("string"))))
+    items = rows.where("series_key <> ''")
     at = F.struct(F.col(doc).alias("d"), F.col("place").alias("p"))
 
     def first(column: str, known: Column, blank):
@@ -146,9 +159,8 @@ def build_catalogue(extracted: DataFrame, doc: str) -> dict[str, DataFrame]:
     works = items.groupBy("series_key").agg(*described, F.countDistinct("media_key").alias("season_count"))
     media = items.groupBy("media_key", "series_key", "season").agg(*described, F.array_sort(F.collect_set("title")).alias("titles"))
     media = media.withColumn("aliases", F.array_except("titles", F.array("title"))).drop("titles")
-    linked = items.select(doc, "media_key", F.explode("links").alias("x"))
-    loose = extracted.select(doc, F.lit(None).cast("string").alias("media_key"), F.explode_outer("outcome.unattributed").alias("x")).where("x is not null")
-    mention = linked.unionByName(loose).select(doc, "media_key", "x.provider", "x.share_id", "x.url", "x.passcode")
+    links = rows.where("place is null or series_key <> ''").select(doc, "media_key", F.explode("links").alias("x"))
+    mention = links.select(doc, "media_key", "x.provider", "x.share_id", "x.url", "x.passcode")
     per_doc = mention.groupBy("provider", "share_id", doc).agg(F.min("url").alias("url"), F.min("passcode").alias("passcode"))
     resources = per_doc.groupBy("provider", "share_id").agg(
         F.count("*").alias("seen_count"), F.min("url").alias("url"), F.min_by("passcode", F.when(F.col("passcode").isNotNull(), F.col(doc))).alias("passcode")

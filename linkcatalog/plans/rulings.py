@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkcatalog.functions import misc
 from linkcatalog.operators import canon, extract
 from linkcatalog.plans.entities import Catalog, with_entities
-from linkcatalog.plans.texts import _posts
+from linkcatalog.plans.texts import _dealt, _posts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,18 +139,18 @@ def interval_factors(c: Catalog) -> DataFrame:
     UNION ALL SELECT doc_id, 'alipan', substr(md5(text), 13, 11), NULL FROM documents) GROUP BY provider, share_id""",
 )
 def catalogue_links(c: Catalog) -> DataFrame:
-    built = canon.build_catalogue(extract.extract(_posts(c), "post"), "doc_id")
+    built = canon.build_catalogue(extract.extract(_dealt(_posts(c)), "post"), "doc_id")
     return built["resources"].select("provider", "share_id", "seen_count", "passcode")
 
 
 @query("catalogue_works")
 def catalogue_works(c: Catalog) -> DataFrame:
-    return canon.build_catalogue(extract.extract(_posts(c), "post"), "doc_id")["works"]
+    return canon.build_catalogue(extract.extract(_dealt(_posts(c)), "post"), "doc_id")["works"]
 
 
 @query("catalogue_media")
 def catalogue_media(c: Catalog) -> DataFrame:
-    return canon.build_catalogue(extract.extract(_posts(c), "post"), "doc_id")["media"].withColumn("aliases", F.array_join("aliases", "|"))
+    return canon.build_catalogue(extract.extract(_dealt(_posts(c)), "post"), "doc_id")["media"].withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query("shard_of_key", "SELECT doc_id, CAST(CASE WHEN d >= 'a' THEN ascii(d) - 87 ELSE ascii(d) - 48 END AS INTEGER) % 8 AS shard FROM (SELECT doc_id, right(md5(text), 1) AS d FROM documents)")
