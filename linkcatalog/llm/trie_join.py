@@ -18,7 +18,12 @@ def needed(n_a, n_b, num: int, den: int):
     return -(-total // (num + den))
 
 
-def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100, below=None):
+def contained(x, among):
+    """Marks the items of ``x`` that are in ``among``, which ascends and is not empty."""
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+
+
+def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100, below=None, late=None, often=None):
     """Calls ``emit(i, probes)`` for sets ``i`` of the trie and the probe numbers that match.
 
     ``sets[:n_probe]`` are probes. The trie holds the sets from ``n_probe`` on or, if ``same``,
@@ -28,6 +33,10 @@ def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100,
     it for all ``b`` from ``small`` to ``big``, by default ``least(a, small)``, which is right where
     ``least`` does not fall as ``b`` grows. A pair counts only if ``pivot`` is its smallest common
     token: each pair is met in one block.
+
+    Tokens in ``late`` (ascending) come after all others in the order that says which token is the
+    smallest, but for pairs of which both sets are marked in ``often`` and for blocks of a late pivot,
+    which hold such sets alone: there the order is that of the hashes.
     """
     below = below or (lambda a, small, big: least(a, small))
     n = len(sets)
@@ -53,6 +62,15 @@ def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100,
         return
     pivot_at = int(number[at])
     n_vocab = int(shared.sum())
+    n_rare = n_early = n_vocab  # tokens from n_rare on are late, those up to n_early smaller than the pivot
+    if late is not None and len(late):
+        last = contained(vocab[shared], late)
+        if last.any() and not last[pivot_at]:
+            n_rare = int((~last).sum())
+            n_early = n_rare + int(last[:pivot_at].sum())
+            place = np.where(last, n_rare + np.cumsum(last) - 1, np.cumsum(~last) - 1)
+            flat, pivot_at = place[flat], int(place[pivot_at])
+            flat = flat[np.lexsort((flat, owner))]
     step = max(1, min(1024, (48 << 20) // max(1, n_vocab)))
     paths = [flat[bounds[i] : bounds[i + 1]] for i in range(n)]
     order = sorted(trie_ids.tolist(), key=lambda i: paths[i].astype(">u4").tobytes())
@@ -96,6 +114,9 @@ def join_block(sets, sizes, least, pivot, n_probe, same, emit, num=80, den=100,
                     ok = ok & (over >= least(probe_size, ny)) & (den * np.minimum(probe_size, ny) >= num * np.maximum(probe_size, ny))
                     if same:
                         ok = ok & (probe_no < i)
+                    if n_early > n_rare and often[i]:
+                        early = a[np.searchsorted(a, n_rare) : np.searchsorted(a, n_early)]
+                        ok = ok & ~(often[lo_p:hi_p] & member[early].any(0))
                     if ok.any():
                         emit(i, probe_no[ok])
                 continue
